@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 from tidemark.llm.packing import op2_packing
+from tidemark.llm.quality_rules import OP7_SQL, op7_quality_rules
+from tidemark.llm.secret_scans import op5_secret_scans
 from tidemark.llm.token_counts import op10_token_counts
 from tidemark.llm.token_files import op9_token_files
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_packing, op9_token_files, op10_token_counts)}
+    return {f.__name__: f for f in (op2_packing, op5_secret_scans, op7_quality_rules, op9_token_files, op10_token_counts)}
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {"op7_quality_rules": OP7_SQL}
