@@ -6,8 +6,9 @@ import numpy as np
 import public_tokenizers
 from tokenizers import Tokenizer
 
+from tidemark.llm.bytepieces import PieceEncoder
 from tidemark.llm.packing import BestFit, op2_packing, pack_documents
-from tidemark.llm.token_counts import count_tokens, op10_token_counts
+from tidemark.llm.token_counts import count_tokens, op10_token_counts, piece_counts
 from tidemark.llm.token_files import op9_token_files, pack, read_token_files, token_digests, unpack, write_token_files
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
@@ -98,3 +99,9 @@ def test_best_fit_takes_the_tightest_and_closes_the_fullest():
     assert p.place(3) == (1, 7)  # fills bin 1
     assert [p.place(8), p.place(9)] == [(2, 0), (3, 0)]  # bin 2 was the fullest of two open ones
     assert p.place(1) == (3, 9) and p.place(4) == (0, 6) and not p.unfinished()
+
+
+def test_a_fresh_encoder_counts_pieces():
+    text = " ".join(f"word{k} it's" for k in range(3000))
+    start, before, total = piece_counts(PieceEncoder(PATH), text)
+    assert total == len(library([text])[0]) and before[-1] < total and start[0] == 0

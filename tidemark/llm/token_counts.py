@@ -129,7 +129,8 @@ def piece_counts(enc, text: str) -> tuple[np.ndarray, np.ndarray, int]:
     plain = ~special[begin]
     count = np.ones(len(begin), np.int64)
     if plain.any():
-        count[plain] = enc.lengths[enc.numbers(codes, begin[plain], stop[plain])]
+        numbers = enc.numbers(codes, begin[plain], stop[plain])  # may replace the memory, so it comes first
+        count[plain] = enc.lengths[numbers]
     total = np.cumsum(count)
     return begin, total - count, int(total[-1]) if len(total) else 0
 
