@@ -18,8 +18,12 @@ from tidemark.llm.common import mix64, powers, span_hashes, text_steps
 
 LETTER, NUMBER, SPACE, OTHER = 0, 1, 2, 3
 #: Pieces that a worker remembers; beyond it the memory starts anew.
-MEMORY = 3 << 19
+MEMORY = 1 << 20
+#: Pieces that go to the library at once.
+GROUP = 1000
 _APOSTROPHE = 39
+#: Bytes of text for one vectorised step.
+STEP = 1 << 18
 
 
 class PieceEncoder:
@@ -37,8 +41,8 @@ class PieceEncoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.slots = np.zeros(1 << 22, np.uint64)
-        self.places = np.zeros(1 << 22, np.int32)
+        self.slots = np.zeros(1 << 21, np.uint64)
+        self.places = np.zeros(1 << 21, np.int32)
         self.starts = np.zeros(1024, np.int64)
         self.lengths = np.zeros(1024, np.int32)
         self.ids = np.zeros(4096, np.uint32)
@@ -102,26 +106,53 @@ class PieceEncoder:
             todo, slot = todo[go], (slot[go] + np.uint64(1)) & mask
         return out
 
-    def _learn(self, hashes: np.ndarray, texts: list[str]) -> None:
-        got = [e.ids for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
-        sizes = np.fromiter(map(len, got), np.int32, len(got))
-        flat = np.fromiter((i for x in got for i in x), np.uint32, int(sizes.sum()))
-        while self.known + len(got) > len(self.lengths):
+    def _learn(self, hashes: np.ndarray, texts: list[str], words: np.ndarray) -> None:
+        flat, sizes = self._encode_pieces(texts, words)
+        while self.known + len(sizes) > len(self.lengths):
             self.starts, self.lengths = np.resize(self.starts, 2 * len(self.starts)), np.resize(self.lengths, 2 * len(self.lengths))
         while self.used + len(flat) > len(self.ids):
             self.ids = np.resize(self.ids, 2 * len(self.ids))
         self.ids[self.used : self.used + len(flat)] = flat
-        self.lengths[self.known : self.known + len(got)] = sizes
-        self.starts[self.known : self.known + len(got)] = self.used + np.cumsum(sizes) - sizes
-        mask = len(self.slots) - 1
-        for k, h in enumerate(hashes.tolist()):
-            at = h & mask
-            while self.slots[at]:
-                at = (at + 1) & mask
-            self.slots[at], self.places[at] = h, self.known + k
-        self.known += len(got)
+        self.lengths[self.known : self.known + len(sizes)] = sizes
+        self.starts[self.known : self.known + len(sizes)] = self.used + np.cumsum(sizes) - sizes
+        mask = np.uint64(len(self.slots) - 1)
+        todo, slot = np.arange(len(hashes)), hashes & mask
+        while len(todo):
+            free = np.flatnonzero(self.slots[slot] == 0)
+            won, at = np.unique(slot[free], return_index=True)  # of those that want one slot, one gets it
+            self.slots[won], self.places[won] = hashes[todo[free[at]]], self.known + todo[free[at]]
+            rest = np.ones(len(todo), bool)
+            rest[free[at]] = False
+            todo, slot = todo[rest], (slot[rest] + np.uint64(1)) & mask
+        self.known += len(sizes)
         self.used += len(flat)
 
+    def _encode_pieces(self, texts: list[str], words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all pieces in a row, their count by piece).
+
+        Pieces that are one blank and a word (words) split again where their blanks stand, so many go to the library as one
+        text; each other piece goes alone.
+        """
+        joint, alone = np.flatnonzero(words).tolist(), np.flatnonzero(~words).tolist()
+        sizes = np.zeros(len(texts), np.int32)
+        order, flat = np.array(joint + alone, np.int64), []
+        for a in range(0, len(joint), GROUP):
+            group = joint[a : a + GROUP]
+            e = self.tokenizer.encode("".join(texts[k] for k in group), add_special_tokens=False)
+            word = np.array(e.word_ids, np.int64)
+            assert word[-1] == len(group) - 1
+            sizes[group] = np.bincount(word, minlength=len(group))
+            flat.append(np.array(e.ids, np.uint32))
+        for a in range(0, len(alone), GROUP):
+            for k, e in zip(alone[a : a + GROUP], self.tokenizer.encode_batch([texts[k] for k in alone[a : a + GROUP]], add_special_tokens=False), strict=True):
+                sizes[k] = len(e.ids)
+                flat.append(np.array(e.ids, np.uint32))
+        ids = np.concatenate(flat)
+        begin = np.zeros(len(texts), np.int64)
+        begin[order] = np.cumsum(sizes[order]) - sizes[order]
+        total = np.cumsum(sizes, dtype=np.int64)
+        return ids[np.arange(len(ids)) - np.repeat(total - sizes - begin, sizes)], sizes
+
     def numbers(self, codes: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
         """Number of each piece codes[begin:end] in the memory."""
         powers(len(codes) + 1)
@@ -136,7 +167,9 @@ class PieceEncoder:
                 new = np.arange(len(hashes))
             text = codes.astype("<u4").tobytes().decode("utf-32-le")
             at = new[at]
-            self._learn(fresh, [text[a:b] for a, b in zip(begin[at].tolist(), end[at].tolist(), strict=True)])
+            second = codes[np.minimum(begin[at] + 1, len(codes) - 1)]
+            words = (codes[begin[at]] == 32) & (end[at] - begin[at] > 1) & (self._classify(second) != SPACE)
+            self._learn(fresh, [text[a:b] for a, b in zip(begin[at].tolist(), end[at].tolist(), strict=True)], words)
             found = self._find(hashes)
         return found
 
@@ -149,7 +182,7 @@ class PieceEncoder:
 
     def steps(self, column: pa.Array):
         """Yields (first row, end row, ids in a row, first id of each row (n + 1)) for runs of rows."""
-        for first, end, raw, off in text_steps(column):
+        for first, end, raw, off in text_steps(column, STEP):
             whole = raw.tobytes()
             if not self.split or any(a.encode() in whole for a in self.added):
                 got = [self._direct(whole[a:b].decode()) for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)]
