@@ -6,6 +6,7 @@ import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +25,8 @@ def session_of(df: DataFrame) -> SparkSession:
 def prepare(spark: SparkSession) -> None:
     """Small Arrow batches, so that a worker's memory does not depend on how long texts are."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    # Workers find this package where the driver did, should it not be installed; elsewhere, ship it with --py-files.
+    spark.sparkContext.environment.setdefault("PYTHONPATH", str(Path(__file__).resolve().parents[2]))
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -176,5 +179,5 @@ def shingle_hashes(words: np.ndarray, first: np.ndarray, size: int = 5) -> tuple
         out[full] = rolled[at[full]]
     for t in np.flatnonzero((count > 0) & (count < size)):
         w = words[first[t] : first[t + 1]]
-        out[begin[t]] = sum((w[k] * _SHINGLE[k] for k in range(len(w))), np.uint64(0)) ^ _SHINGLE[size + len(w)]
+        out[begin[t]] = (w * np.array(_SHINGLE[: len(w)])).sum(dtype=np.uint64) ^ _SHINGLE[size + len(w)]
     return mix64(out), begin
