@@ -174,7 +174,8 @@ def find_candidates(docs: DataFrame, *kept: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(found, pa.list_(item))], [*kept, "candidates"])
 
     types = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept)
-    return docs.select(*kept, "text").mapInArrow(find, f"{types}, candidates array<struct<kind:int,start:bigint,end:bigint,base:boolean,votes:int,features:array<int>>>")
+    read = [*kept] if "text" in kept else [*kept, "text"]
+    return docs.select(*read).mapInArrow(find, f"{types}, candidates array<struct<kind:int,start:bigint,end:bigint,base:boolean,votes:int,features:array<int>>>")
 
 
 def label_model(patterns: dict[tuple[int, int], int], rounds: int = 50) -> dict[tuple[int, int], float]:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from tidemark.llm.decontamination import op8_decontamination
 from tidemark.llm.language_id import op3_language_id
 from tidemark.llm.line_dedup import op6_line_dedup
 from tidemark.llm.ngram_join import op1_ngram_join
@@ -14,7 +15,7 @@ from tidemark.llm.token_files import op9_token_files
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_ngram_join, op2_packing, op3_language_id, op4_personal_data, op5_secret_scans, op6_line_dedup, op7_quality_rules, op9_token_files, op10_token_counts)}
+    return {f.__name__: f for f in (op1_ngram_join, op2_packing, op3_language_id, op4_personal_data, op5_secret_scans, op6_line_dedup, op7_quality_rules, op8_decontamination, op9_token_files, op10_token_counts)}
 
 
 def oracle_sql() -> dict:
