@@ -1,2 +1,50 @@
-QUERIES: dict = {}
-SQL: dict = {}
+"""Streaming queries: drained now, they must equal what the batch operators make of the same log."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidemark.plans.model import Model, duck
+from tidemark.streaming.sweep import fold_stream, log_stream, run_batches, sweep
+
+
+def _swept(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    log = Model(spark, sf_dir).mutations
+    frontier = log.groupBy("k").agg((F.max("lsn") - 200 * (F.col("k") % 2)).alias("through"))
+    deleted = log.select("k").distinct().filter("k % 11 = 0")
+    return sweep(log_stream(spark, sf_dir), frontier, deleted)
+
+
+def drained_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def each(batch: DataFrame, number: int, folder: str) -> None:
+        batch.groupBy("op").agg(F.count("*").alias("n"), F.max("lsn").alias("last")).write.mode("overwrite").parquet(f"{folder}/out/batch={number}")
+
+    folder = run_batches(log_stream(spark, sf_dir), each, "drain")
+    got = spark.read.schema("op string, n long, last long").parquet(f"{folder}/out/*")
+    return got.groupBy("op").agg(F.sum("n").alias("n"), F.max("last").alias("last"))
+
+
+def frontier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The LSN up to which nothing is pending: just below the first pending row, or the end of the log."""
+    _, pending = _swept(spark, sf_dir)
+    end = Model(spark, sf_dir).mutations.agg(F.max("lsn").alias("last"))
+    return pending.agg(F.min("lsn").alias("first")).crossJoin(end).select(F.coalesce(F.col("first") - 1, F.col("last")).alias("frontier"))  # one row by one row
+
+
+QUERIES = {
+    "ss01_drained_log": drained_log,
+    "ss02_swept_sums": lambda spark, sf_dir: _swept(spark, sf_dir)[0],
+    "ss03_pending_rows": lambda spark, sf_dir: _swept(spark, sf_dir)[1].select("lsn", "k", "op"),
+    "ss05_frontier": frontier,
+    "ss06_stateful_fold": lambda spark, sf_dir: fold_stream(log_stream(spark, sf_dir)),
+}
+
+_LATE = "WITH f AS (SELECT k, max(lsn) - 200 * (k % 2) AS through FROM mutations GROUP BY k)"
+SQL = {
+    "ss01_drained_log": duck("SELECT op, count(*)::BIGINT AS n, max(lsn) AS last FROM mutations GROUP BY op"),
+    "ss02_swept_sums": duck(f"{_LATE} SELECT k, count(*)::BIGINT AS puts, sum(len)::BIGINT AS bytes FROM mutations JOIN f USING (k) WHERE lsn <= through AND op = 'put' AND k % 11 <> 0 GROUP BY k"),
+    "ss03_pending_rows": duck(f"{_LATE} SELECT lsn, k, op FROM mutations JOIN f USING (k) WHERE lsn > through AND k % 11 <> 0"),
+    "ss05_frontier": duck(f"{_LATE} SELECT coalesce(min(lsn) - 1, (SELECT max(lsn) FROM mutations)) AS frontier FROM mutations JOIN f USING (k) WHERE lsn > through AND k % 11 <> 0"),
+    "ss06_stateful_fold": duck("SELECT k, count(*) FILTER (retire_lsn IS NULL) AS live FROM (SELECT k, retire_lsn FROM versions UNION ALL SELECT DISTINCT k, -1 FROM mutations) GROUP BY k"),
+}
