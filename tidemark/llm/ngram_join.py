@@ -12,8 +12,8 @@ left out, since both rank contents alike. How much slack, and how many loose seg
 fewest index entries and the fewest uninformative ones.
 
 Sets that meet are not expanded into pairs. Of those that share a content, the first is the hub and the others are
-compared with it; verified links are joined into components; only contents that still join different components are
-looked at pair by pair. Comparisons are exact, on the shingles of the texts themselves; a count sketch of 64 cells
+compared with it; verified links are joined into components; contents that still join different components have their
+most central members compared with the others, and only what then is left is looked at pair by pair. Comparisons are exact, on the shingles of the texts themselves; a count sketch of 256 cells
 (whose differences never exceed those of the sets) spares most vain ones.
 
 Shingles are compared by 64-bit hashes, and equal sets are one class by a 64-bit digest.
@@ -37,7 +37,7 @@ from tidemark.llm.common import cut, discard, mix64, partitions, prepare, releas
 from tidemark.llm.components import components
 
 SHINGLE = 5
-CELLS = 64
+CELLS, COARSE = 256, 64
 #: Documents and index entries that are dealt out at once.
 FLUSH_DOCS, FLUSH_ENTRIES = 1 << 13, 1 << 19
 #: Index entries for one task, about.
@@ -46,6 +46,10 @@ TASK_ENTRIES = 1 << 21
 LOCAL_HOT = 16
 #: A content that more sets share than this may be left out, where slack allows.
 HOT = 64
+#: Members of one content that a block of a tile holds, about.
+TILE = 1 << 12
+#: Rounds in which the central members of open contents are tried, before all pairs that are left.
+HUB_ROUNDS = 3
 #: Comparisons with one hub in one task, about.
 HUB_SHARE = 256
 _S = [np.uint64(x) for x in (0x8EBC6AF09C88C6E3, 0x589965CC75374CC3, 0x1D8E4E27C47D124F, 0xE7037ED1A0B428DB)]
@@ -101,7 +105,7 @@ def _digest(shingles: np.ndarray) -> int:
 
 
 def _sketch(shingles: np.ndarray) -> bytes:
-    return np.bincount(shingles & np.uint64(CELLS - 1), minlength=CELLS).astype("<u4").tobytes()
+    return np.bincount(shingles & np.uint64(CELLS - 1), minlength=CELLS).clip(max=0xFFFF).astype("<u2").tobytes()
 
 
 def set_classes(docs: DataFrame) -> DataFrame:
@@ -315,7 +319,7 @@ def _near(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
             n = batch.num_rows
-            s = [np.frombuffer(b"".join(x.as_py() for x in batch.column(c)), "<u4").reshape(n, CELLS).astype(np.int64) for c in ("s_a", "s_b")]
+            s = [np.frombuffer(b"".join(x.as_py() for x in batch.column(c)), "<u2").reshape(n, CELLS).astype(np.int32) for c in ("s_a", "s_b")]
             most = (batch.column("n_a").to_numpy() + batch.column("n_b").to_numpy()) // 9
             yield batch.filter(pa.array(np.abs(s[0] - s[1]).sum(1) <= most)).select(["a", "b"])
 
@@ -355,38 +359,129 @@ def verify(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
     return placed.mapInArrow(run, "a long, b long").distinct()
 
 
-def _second_look(met: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs (a, b) of different components that share a content which no set may leave out."""
-    members = met.filter("kind = 1").select(F.col("a").alias("key"), F.col("b").alias("cls"), F.col("bits").bitwiseAND(1).alias("role"), (1 + F.call_function("shiftright", F.col("bits"), F.lit(1)).bitwiseAND(1)).alias("weight"), "slack").distinct()
-    members = members.join(labels.select(F.col("node").alias("cls"), "label"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
-    members = cut(members)
-    open_keys = members.groupBy("key").agg(F.count("*").alias("n"), F.min("label").alias("x"), F.max("label").alias("y"), F.min("role").alias("r")).filter("x <> y AND r = 0")
-    still = members.join(open_keys.select("key", "n"), "key")
+def _members(met: DataFrame) -> DataFrame:
+    """key, cls, role, weight, slack: members of contents that more than a pair shares."""
+    weight = (1 + F.call_function("shiftright", F.col("bits"), F.lit(1)).bitwiseAND(1)).alias("weight")
+    return met.filter("kind = 1").select(F.col("a").alias("key"), F.col("b").alias("cls"), F.col("bits").bitwiseAND(1).alias("role"), weight, "slack").distinct()
+
+
+def _open(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """The members, with label and n (how many share the content), of contents that still join different components."""
+    rows = members.join(labels.select(F.col("node").alias("cls"), "label"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
+    keys = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("label").alias("x"), F.max("label").alias("y"), F.min("role").alias("r"))
+    return rows.join(keys.filter("x <> y AND r = 0").select("key", "n"), "key")
+
+
+def _hub_pairs(still: DataFrame) -> DataFrame:
+    """a, b: of each open content, the most central member against those of other components.
+
+    A set that shares much with many (the text that others are edits of) is central, and most likely to link with all.
+    """
+    central = still.join(still.groupBy("cls").agg(F.sum("n").alias("shared")), "cls")
+    hubs = central.filter("role = 0").groupBy("key").agg(F.max(F.struct("shared", "cls", "label")).alias("hub"))
+    met = still.join(hubs, "key").filter("label <> hub.label")
+    return met.select(F.least("hub.cls", "cls").alias("a"), F.greatest("hub.cls", "cls").alias("b")).distinct()
+
+
+def _tile_pairs(cls, role, label, size, sketch, block):
+    """Pairs (a, b) of one tile that sizes and sketches allow, of different components, one of them in its own band."""
+    out = []
+    coarse = sketch.reshape(len(cls), CELLS // COARSE, COARSE).sum(1)
+    split = len(np.unique(block)) > 1
+    for i in range(len(cls) - 1):
+        j = np.flatnonzero(label[i + 1 :] != label[i]) + i + 1
+        j = j[(role[j] == 0) | (role[i] == 0)]
+        if split:
+            j = j[block[j] != block[i]]
+        j = j[100 * np.minimum(size[i], size[j]) >= 80 * np.maximum(size[i], size[j])]
+        most = (size[i] + size[j]) // 9
+        near = np.abs(coarse[j] - coarse[i]).sum(1) <= most
+        j, most = j[near], most[near]
+        j = j[np.abs(sketch[j] - sketch[i]).sum(1) <= most]
+        if len(j):
+            out.append(np.stack([np.minimum(cls[i], cls[j]), np.maximum(cls[i], cls[j])], 1))
+    return out
+
+
+def _all_pairs(still: DataFrame, classes: DataFrame) -> DataFrame:
+    """a, b: members of different components that share a content which neither may leave out, near enough by sketch.
+
+    Members of a content meet in tiles of two blocks, of a bounded number each; only what may be a link leaves a tile.
+    """
     costly_first = Window.partitionBy("cls", "role").orderBy(F.desc("n"), F.desc("key"))
     still = still.withColumn("spent", F.sum("weight").over(costly_first)).filter((F.col("n") <= HOT) | (F.col("spent") > F.col("slack")))
-    own = still.filter("role = 0").select("key", F.col("cls").alias("a"), F.col("label").alias("la"))
-    other = still.select("key", F.col("cls").alias("b"), F.col("label").alias("lb"), "role")
-    return own.join(other, "key").filter("la <> lb AND (role = 1 OR a < b)").select("a", "b").distinct()
+    blocks = F.ceil(F.col("n") / TILE).cast("int")
+    rows = still.join(classes.select("cls", F.col("n").alias("size"), "sketch"), "cls").withColumn("block", F.pmod(F.xxhash64("cls"), blocks).cast("int"))
+    tiles = F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other")
+    rows = rows.select("key", "cls", "role", "label", "size", "sketch", "block", tiles)
+    rows = rows.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "cls", "role", "label", "size", "sketch", "block")
+
+    def run(batches):
+        held, at = [], None
+
+        def out(parts):
+            pairs = _tile_pairs(*(np.concatenate(x) for x in zip(*parts, strict=True)))
+            return np.unique(np.concatenate(pairs), axis=0) if pairs else np.zeros((0, 2), np.int64)
+
+        for batch in batches:
+            tile = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in ("key", "i", "j")], 1)
+            columns = [batch.column(c).to_numpy().astype(np.int64) for c in ("cls", "role", "label", "size", "block")]
+            sketch = np.frombuffer(b"".join(x.as_py() for x in batch.column("sketch")), "<u2").reshape(batch.num_rows, CELLS).astype(np.int32)
+            cuts = [0, *(np.flatnonzero((tile[1:] != tile[:-1]).any(1)) + 1).tolist(), batch.num_rows]
+            made = []
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                if at is not None and tuple(tile[a]) != at:
+                    made.append(out(held))
+                    held = []
+                at = tuple(tile[a])
+                c, r, l, z, k = (x[a:b] for x in columns)
+                held.append((c, r, l, z, sketch[a:b], k))
+            if made:
+                yield rows_of(made)
+        if held:
+            yield rows_of([out(held)])
+
+    def rows_of(made):
+        pairs = np.unique(np.concatenate(made), axis=0)
+        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, k])) for k in (0, 1)], ["a", "b"])
+
+    placed = rows.repartition(partitions(still.sparkSession), "key", "i", "j").sortWithinPartitions("key", "i", "j")
+    return placed.mapInArrow(run, "a long, b long").distinct()
 
 
 def link_classes(docs: DataFrame, classes: DataFrame, tasks: int) -> DataFrame:
-    """a, b: enough links between classes (cls, n, sketch, rep) to join all that are linked."""
+    """a, b: enough links between classes (cls, n, sketch, rep) to join all that are linked.
+
+    First each set meets one hub; then the other hubs of other components; then, while that finds links, the most
+    central member of each open content; last, whatever pairs of different components an open content still holds.
+    """
+    spark = docs.sparkSession
     met = cut(_meet(_deal(docs, tasks), tasks))
-    release(docs.sparkSession)
-    stars = cut(_near(met.filter("kind = 0").select("a", "b").distinct(), classes))
-    tried = stars.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+    release(spark)
+    sort = lambda df: df.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    stars = cut(_near(sort(met.filter("kind = 0")), classes))
+    members = cut(_members(met))
+    discard(met)
+    tried = cut(stars.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
     links = cut(verify(tried, docs, classes))
-    labels = cut(components(links))
-    release(docs.sparkSession)
-    side = lambda x: labels.select(F.col("node").alias(x), F.col("label").alias(f"l{x}"))
-    apart = stars.join(tried, ["a", "b"], "left_anti").join(side("a"), "a", "left").join(side("b"), "b", "left")
-    apart = apart.filter(F.coalesce("la", "a") != F.coalesce("lb", "b")).select("a", "b")
-    more = _near(_second_look(met, labels), classes).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    rest = cut(apart.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).unionByName(more).distinct())
-    if not rest.isEmpty():
-        links = links.unionByName(cut(verify(rest, docs, classes)))
-        release(docs.sparkSession)
-    discard(met, stars)
+    found = True
+    for step in ("stars", *["hubs"] * HUB_ROUNDS, "all"):
+        if step == "hubs" and not found:
+            continue
+        labels = cut(components(links))
+        side = lambda x: labels.select(F.col("node").alias(x), F.col("label").alias(f"l{x}"))  # noqa: B023, E731
+        if step == "stars":
+            pairs = stars.join(side("a"), "a", "left").join(side("b"), "b", "left").filter(F.coalesce("la", "a") != F.coalesce("lb", "b")).select("a", "b")
+        else:
+            still = cut(_open(members, labels))
+            pairs = _near(_hub_pairs(still), classes) if step == "hubs" else _all_pairs(still, classes)
+        more = cut(pairs.join(tried, ["a", "b"], "left_anti"))
+        found = False
+        if not more.isEmpty():
+            new = cut(verify(more, docs, classes))
+            found = not new.isEmpty()
+            tried, links = tried.unionByName(more), links.unionByName(new)
+        release(spark)
     return links
 
 
