@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators import summaries as S
@@ -57,11 +57,11 @@ class Model:
             F.min("lsn").alias("min_lsn"), F.max("lsn").alias("max_lsn"), F.sum("len").alias("sealed_len"),
             F.max(F.when(F.col("retire_lsn").isNull(), F.col("end_epoch"))).alias("_end"), F.max("write_epoch").alias("_write"),
         )
-        last = bounds.agg(F.max("segment_id").alias("_last"))
+        last = bounds.agg(F.max("segment_id")).scalar()
         kind = F.col("segment_id") % 3
-        return bounds.crossJoin(F.broadcast(last)).select(  # one row, by an aggregate without keys
+        return bounds.select(
             "segment_id",
-            F.when(F.col("segment_id") == F.col("_last"), "Open").otherwise("Sealed").alias("state"),
+            F.when(F.col("segment_id") == last, "Open").otherwise("Sealed").alias("state"),
             F.when(kind == 0, "Ingest").when(kind == 1, "ExactEpoch").otherwise("Spillover").alias("placement"),
             F.when(kind == 1, F.coalesce("_end", "_write")).alias("placement_epoch"),
             (F.col("segment_id") % 11 == 0).alias("claimed"),

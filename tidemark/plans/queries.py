@@ -367,8 +367,8 @@ def sweep_bound(m: Model) -> DataFrame:
 @built("pl23_durability_gate", "SELECT file_id FROM files WHERE level = 'patch' AND min_lsn < (SELECT coalesce(min(min_lsn), 1000000000) FROM files WHERE level = 'patch' AND max_lsn > 15000 AND min_lsn <= 15000) AND max_lsn <= 15000")
 def durability_gate(m: Model) -> DataFrame:
     patches = m.files.filter("level = 'patch'")
-    cut = patches.filter("max_lsn > 15000 AND min_lsn <= 15000").agg(F.coalesce(F.min("min_lsn"), F.lit(1_000_000_000)).alias("cut"))
-    return patches.filter("max_lsn <= 15000").join(F.broadcast(cut), F.col("min_lsn") < F.col("cut")).select("file_id")
+    cut = patches.filter("max_lsn > 15000 AND min_lsn <= 15000").agg(F.coalesce(F.min("min_lsn"), F.lit(1_000_000_000))).scalar()
+    return patches.filter("max_lsn <= 15000").filter(F.col("min_lsn") < cut).select("file_id")
 
 
 @built("tk01_ranked_plans", f"{PLANS} SELECT * FROM q", PLAN_EPOCH)

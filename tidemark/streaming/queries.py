@@ -28,8 +28,8 @@ def drained_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 def frontier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The LSN up to which nothing is pending: just below the first pending row, or the end of the log."""
     _, pending = _swept(spark, sf_dir)
-    end = Model(spark, sf_dir).mutations.agg(F.max("lsn").alias("last"))
-    return pending.agg(F.min("lsn").alias("first")).crossJoin(end).select(F.coalesce(F.col("first") - 1, F.col("last")).alias("frontier"))  # one row by one row
+    end = Model(spark, sf_dir).mutations.agg(F.max("lsn")).scalar()
+    return pending.agg(F.min("lsn").alias("first")).select(F.coalesce(F.col("first") - 1, end).alias("frontier"))
 
 
 QUERIES = {
