@@ -5,6 +5,7 @@ import re
 
 import numpy as np
 
+from tidemark.llm.components import components
 from tidemark.llm.ngram_join import bands, entries, join_near_duplicates, op1_ngram_join
 
 
@@ -103,3 +104,24 @@ def test_bands_can_pay_for_every_difference():
     for b in bands()[:60]:
         assert b.plain + 2 * b.loose == b.differ + 1 + b.slack
         assert b.differ >= (2 * b.hi) // 9
+
+
+def test_components_by_rounds_and_in_one_task(spark):
+    rng = random.Random(11)
+    edges = [(rng.randrange(900), rng.randrange(900)) for _ in range(500)] + [(k, k + 1) for k in range(1000, 1060)] + [(5000, k) for k in range(5001, 5040)]
+    parent = {x: x for e in edges for x in e if e[0] != e[1]}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        if a != b:
+            a, b = sorted((root(a), root(b)))
+            parent[b] = a
+    want = sorted((x, root(x)) for x in parent)
+    links = spark.createDataFrame(edges, "a long, b long")
+    assert sorted(map(tuple, components(links).collect())) == want
+    assert sorted(map(tuple, components(links, small=0).collect())) == want
+    assert components(links.filter("false")).count() == 0
