@@ -117,3 +117,36 @@ def test_lines_of_odd_rows(spark):
     assert got == [(3, n + 1, 2 * n + 1, 3, 0), (3, 2 * n + 3, 3 * n + 3, 3, 0), (4, 0, n, 3, 0), (4, 3, 4 + n, 3, 0)]
     assert repeated_units(docs.filter("false")).count() == 0
     assert remove_spans("abcdef", [(1, 3), (2, 4)]) == ("aef", [(0, 1), (4, 6)])
+
+
+def spans_by_doc(rows):
+    out = {}
+    for r in rows:
+        out.setdefault(r.doc_id, []).append((r.start, r.end))
+    return out
+
+
+def test_repeated_lines_of_short_sentences_go(spark):
+    short = [" ".join(f"s{k}w{j}" for j in range(5)) + "." for k in range(12)]
+    line, passage = " ".join(short), " ".join(short[3:7])
+    rows = [(1, line), (2, f"own words\n{line.upper()}\nmore"), (3, f"Not seen before. {passage} Nor is this."), (4, "\n".join(short)), (5, "Yes. No. Why not so? Ha. " * 2), (6, "ha ha. " * 4)]
+    got = repeated_units(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()
+    assert (2, 10, 10 + len(line), 60, 1, 0) in [(r.doc_id, r.start, r.end, r.n_words, r.kept_doc_id, r.kept_start) for r in got]
+    left = {d: remove_spans(t, spans_by_doc(got).get(d, []))[0].split() for d, t in rows}
+    assert left == {1: line.split(), 2: "own words more".split(), 3: "Not seen before. Nor is this.".split(), 4: [], 5: "Yes. No. Why not so? Ha.".split(), 6: ("ha ha. " * 4).split()}
+
+
+def test_every_repeated_line_goes_whole(spark, tiny):
+    docs = sorted((r.doc_id, r.text) for r in spark.read.parquet(f"{tiny}/documents.parquet").collect())
+    got = op6_line_dedup(spark, tiny).collect()
+    assert brute(docs) <= {tuple(r) for r in got} and len(got) == len({tuple(r) for r in got})
+    spans, seen, repeats = spans_by_doc(got), set(), 0
+    for d, t in docs:
+        covered = {i for a, b in spans.get(d, []) for i in range(a, b)}
+        for m in re.finditer(r"[^\n]+", t or ""):
+            key = tuple(w for _, _, unit in units(m[0]) for w in unit)
+            if len(key) >= MIN_WORDS and key in seen:
+                repeats += 1
+                assert all(i in covered for i in range(m.start(), m.end()) if not t[i].isspace())
+            seen.add(key)
+    assert repeats
