@@ -4,6 +4,7 @@ import hashlib
 import re
 
 import duckdb
+from pyspark.sql import functions as F
 
 from tidemark.llm.quality_rules import OP7_SQL, base_metrics, common_lines, judge, op7_quality_rules
 from tidemark.llm.secret_scans import op5_secret_scans, scan_secrets
@@ -49,6 +50,25 @@ def test_lines_over_the_limits(spark):
     assert common_lines(measured).count() == 1
 
 
+def test_lines_of_pages_of_one_length(spark):
+    rule = "terms of use apply to all pages of this site without any exception today"
+    letters = str.maketrans("0123456789", "abcdefghij")
+    own = lambda k: [f"{k}x{j}".translate(letters) for j in range(250)]
+    page = lambda w, end: "\n".join([" ".join(w[:90]), " ".join(w[90:]), end])
+    near = lambda k, c: [f"e{c}".translate(letters) if j == 7 * c % 250 else x for j, x in enumerate(own(k))]
+    rows = [(k, page(own(k), f"{rule} {k}"), "even") for k in range(30)] + [(50, f"{rule} 7\na few more words of its own", "even")]
+    rows += [(100 + k, page(own(900), f"{rule} {k}"), "same") for k in range(60)]
+    rows += [(200 + k, page(near(901, k), rule), "near") for k in range(120)]
+    rows += [(400 + k, page(near(902 + k % 2, k), rule), "two") for k in range(30)]
+    rows += [(500 + k, page(own(k // 3), rule), "mirrors") for k in range(75)]
+    docs = spark.createDataFrame(rows, SCHEMA).withColumn("host", F.col("source"))
+    got = {r.doc_id: r for r in judge(docs, "doc_id").collect()}
+    assert not got[50].base_failed and not got[50].kept and all(got[k].kept and got[k].chars_left < got[k].word_chars for k in range(30))
+    assert all(r.kept and r.chars_left == r.word_chars for d, r in got.items() if 100 <= d < 500)
+    found = common_lines(base_metrics(docs, "host")).collect()
+    assert sorted((r.host, r.n_docs) for r in found) == [("even", 31), ("mirrors", 75)]
+
+
 def base(text):
     t = text or ""
     found = [(m.start(), 0, "assign", m.end()) for m in re.finditer(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", t) if len(m[2]) >= 12]

@@ -3,7 +3,11 @@
 Base rules are measured within each text. Then normalised lines are hashed, the documents of each host (the source
 column) that hold a line are counted, lines over the limits are removed, and a document of which too little is left is
 rejected. Copies of one page must not make its own lines boilerplate: besides the number of documents, a line's
-documents must spread over several classes of length, which copies and near copies of one text never do.
+documents must spread over several classes of length, which copies and near copies of one text never do, or they must
+have more different contents than the limit, as pages of one length do. A content is told by a sketch, the least hashes
+of windows of words. A document most of whose sketch no other one has is a content of its own; others share a content
+if they agree in the least of the hashes that stand in about as many documents as most of their sketch does. So copies
+count once and near copies a few times; so do pages of which over half is the same text, which can't be told from them.
 
 Rows per line are pre-aggregated before they are dealt out by (host, line), so that a line in a third of all documents
 is one row of each task. The lines over the limits are joined back by whatever join their checked size allows.
@@ -24,8 +28,10 @@ _BLANKS = " \t\n\x0b\x0c\r"
 WINDOW = 8
 #: A line is removed for a host if more documents than this hold it...
 MAX_DOCS = 20
-#: ...of at least so many classes of length (a class is half a doubling).
+#: ...of at least so many classes of length (a class is half a doubling), or of more than MAX_DOCS contents.
 MIN_CLASSES = 5
+#: Hashes of windows in a sketch, with repeats.
+SKETCH = 16
 MIN_WORDS = 20
 
 
@@ -34,7 +40,7 @@ def _windows(words: Column, n: Column) -> Column:
 
 
 def base_metrics(docs: DataFrame, *kept: str) -> DataFrame:
-    """kept columns, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed and line (hash, chars) pairs."""
+    """kept columns, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, line (hash, chars) pairs and sketch."""
     kept = list(kept)
     text = F.coalesce("text", F.lit(""))
     rows = docs.select(*kept, text.alias("_text"), F.transform(F.array_remove(F.split(text, SPACES), ""), lambda w: F.xxhash64(w)).alias("_words"))
@@ -43,7 +49,8 @@ def base_metrics(docs: DataFrame, *kept: str) -> DataFrame:
     rows = rows.select(*kept, "_text", "_n", "_lines", _windows(F.col("_words"), F.col("_n")).alias("_windows"))
     # Only texts with a repeated window are sorted to find where.
     repeats = F.size(F.array_distinct("_windows")) < F.size("_windows")
-    rows = rows.withColumn("_sorted", F.when(repeats, F.sort_array(F.transform("_windows", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))))
+    ordered = F.when(repeats, F.sort_array(F.transform("_windows", lambda h, i: F.struct(h.alias("h"), i.alias("i")))))
+    rows = rows.select(*kept, "_text", "_n", "_lines", F.slice(F.sort_array("_windows"), 1, SKETCH).alias("sketch"), ordered.alias("_sorted"))
     s = F.col("_sorted")
     twice = F.filter(s, lambda x, j: (F.get(s, j - 1)["h"] == x["h"]) | (F.get(s, j + 1)["h"] == x["h"]))
     rows = rows.withColumn("_at", F.sort_array(F.transform(twice, lambda x: x["i"])))
@@ -58,16 +65,38 @@ def base_metrics(docs: DataFrame, *kept: str) -> DataFrame:
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
         F.coalesce(covered, F.lit(0)).cast("long").alias("n_repeat_words"),
         F.transform("_lines", lambda x: F.struct(F.xxhash64(normal(x)).alias("h"), F.length(F.translate(x, _BLANKS, "")).alias("chars"))).alias("lines"),
+        F.when(F.size("sketch") > 0, F.col("sketch")).otherwise(F.array(F.xxhash64("_lines"))).alias("sketch"),
     )
     return rows.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words")))
 
 
+def contents(measured: DataFrame) -> DataFrame:
+    """host, sid (a sketch's hash) and content of all sketches. measured: host, sketch."""
+    sketches = measured.groupBy("host", F.xxhash64("sketch").alias("sid")).agg(F.count("*").alias("docs"), F.first("sketch").alias("sketch"))
+    values = cut(sketches.select("host", "sid", "docs", F.explode(F.array_distinct("sketch")).alias("v")))
+    shared = values.groupBy("host", "v").agg(F.sum("docs").alias("times")).filter("times > 1")
+    size_class = F.coalesce(F.length(F.bin("times")), F.lit(0)).alias("size_class")  # 0: no other document has it
+    classes = values.join(shared, ["host", "v"], "left").groupBy("host", "sid", size_class).agg(F.count("*").alias("n"), F.min("v").alias("v"))
+    own, common = F.col("size_class") == 0, F.col("size_class") > 0
+    found = classes.groupBy("host", "sid").agg(F.sum("n").alias("n"), F.sum(F.when(own, F.col("n")).otherwise(0)).alias("own"), F.max(F.when(common, F.struct("n", "size_class", "v"))).alias("most"))
+    return found.select("host", "sid", F.when(2 * F.col("own") >= F.col("n"), F.col("sid")).otherwise(F.col("most.v")).alias("content"))
+
+
 def common_lines(measured: DataFrame, max_docs: int = MAX_DOCS, min_classes: int = MIN_CLASSES) -> DataFrame:
-    """host, h, n_docs of lines over the limits. measured: host, n_words, lines."""
+    """host, h, n_docs of lines over the limits. measured: host, n_words, lines, sketch."""
     size_class = F.length(F.bin(F.col("n_words") * F.col("n_words"))) - 1  # twice the binary logarithm, rounded down
-    each = measured.select("host", F.call_function("shiftleft", F.lit(1).cast("long"), size_class).alias("bit"), F.explode(F.array_distinct(F.transform("lines", lambda x: x["h"]))).alias("h"))
+    each = measured.select("host", "sketch", F.call_function("shiftleft", F.lit(1).cast("long"), size_class).alias("bit"), F.explode(F.array_distinct(F.transform("lines", lambda x: x["h"]))).alias("h"))
     counted = each.groupBy("host", "h").agg(F.count("*").alias("n_docs"), F.bit_count(F.bit_or("bit")).alias("classes"))
-    return counted.filter((F.col("n_docs") > max_docs) & (F.col("classes") >= min_classes)).select("host", "h", "n_docs")
+    counted = cut(counted.filter(F.col("n_docs") > max_docs))
+    wide = counted.filter(F.col("classes") >= min_classes).select("host", "h", "n_docs")
+    narrow = counted.filter(F.col("classes") < min_classes).select("host", "h", "n_docs")
+    if narrow.isEmpty():
+        return wide
+    held = cut(each.join(narrow, ["host", "h"]).select("host", "h", F.xxhash64("sketch").alias("sid")).distinct())
+    sketched = measured.withColumn("sid", F.xxhash64("sketch")).join(held.select("host", "sid").distinct(), ["host", "sid"], "left_semi")
+    met = held.join(contents(sketched), ["host", "sid"]).select("host", "h", "content").distinct()
+    many = met.groupBy("host", "h").agg(F.count("*").alias("n_contents")).filter(F.col("n_contents") > max_docs)
+    return wide.unionByName(narrow.join(many, ["host", "h"], "left_semi"))
 
 
 def judge(docs: DataFrame, *kept: str, max_docs: int = MAX_DOCS, min_classes: int = MIN_CLASSES) -> DataFrame:
@@ -79,7 +108,7 @@ def judge(docs: DataFrame, *kept: str, max_docs: int = MAX_DOCS, min_classes: in
     lost = measured.select("_rid", "host", F.explode("lines").alias("line")).select("_rid", "host", F.col("line.h").alias("h"), F.col("line.chars").alias("chars"))
     lost = lost.join(common, ["host", "h"]).groupBy("_rid").agg(F.sum("chars").alias("lost"))
     left = F.col("word_chars") - F.coalesce("lost", F.lit(0))
-    out = measured.drop("lines", "host").join(lost, "_rid", "left").withColumn("chars_left", left).drop("_rid", "lost")
+    out = measured.drop("lines", "sketch", "host").join(lost, "_rid", "left").withColumn("chars_left", left).drop("_rid", "lost")
     # A word has about five characters: less than the least number of words, or under a tenth of the text, is depleted.
     depleted = (F.col("chars_left") < 5 * MIN_WORDS) & (F.col("chars_left") < F.col("word_chars")) | (10 * F.col("chars_left") < F.col("word_chars"))
     return out.withColumn("kept", ~F.col("base_failed") & ~depleted)
