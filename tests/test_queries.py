@@ -29,3 +29,10 @@ def test_entry(spark):
 
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_payload_bytes_are_of_all_documents(spark, tiny):
+    docs = spark.read.parquet(f"{tiny}/documents.parquet").collect()
+    assert any(not r.text.isascii() for r in docs if r.text)
+    want = [(r.doc_id, None if r.text is None else r.text.encode()[10:30].hex().upper()) for r in docs]
+    assert sorted(map(tuple, QUERIES["sc08_payload_bytes"](spark, tiny).collect())) == sorted(want)

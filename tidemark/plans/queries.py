@@ -30,6 +30,12 @@ def payload_range(m: Model) -> DataFrame:
     return docs.select("doc_id", F.decode(F.substring(F.encode("text", "UTF-8"), 11, 20), "UTF-8").alias("part"))
 
 
+@built("sc08_payload_bytes", "SELECT doc_id, hex(encode(text)[11:30]) AS part FROM documents")
+def payload_bytes(m: Model) -> DataFrame:
+    """The byte range of all documents, in hex as it may cut characters."""
+    return m.table("documents").select("doc_id", F.hex(F.substring(F.encode("text", "UTF-8"), 11, 20)).alias("part"))
+
+
 @built("sf05_checksum", "SELECT doc_id, md5(text) AS checksum FROM documents")
 def checksum(m: Model) -> DataFrame:
     return m.table("documents").select("doc_id", F.md5("text").alias("checksum"))
