@@ -109,3 +109,10 @@ def test_secrets_of_odd_texts(spark):
     assert [k for k, _, _ in spans[7]] == ["identifier", "opaque", "endpoint"]
     assert sorted(len(r.spans) for r in got if r.doc_id == 9) == [1, 3000]
     assert scan_secrets(spark.createDataFrame(rows, "doc_id long, text string").filter("false"), "doc_id").count() == 0
+
+
+def test_long_endpoints_are_whole(spark):
+    link = "https://db.example.com/" + "p/" * 600 + "?sig=Zz"
+    text = f"login: someone token=abcdefghijkl {link} end"
+    got = scan_secrets(spark.createDataFrame([(1, text)], "doc_id long, text string"), "doc_id").head().spans
+    assert [text[s.start : s.end] for s in got if s.kind == "endpoint"] == [link]

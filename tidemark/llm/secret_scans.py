@@ -26,7 +26,7 @@ BASE = {"assign": (ASSIGN, 12, 2), "access": ("AKIA[A-Z0-9]+", 18, 0), "hex": ("
 WEAK = {
     "identifier": "(?:(?i:access_?key_?id|client_?id|user_?name|login|account))[\"']?\\x20*[:=]\\x20*[\"']?[A-Za-z0-9@._-]{4,}|(?:ASIA|AGPA|AIDA|AROA)[A-Z0-9]{12,}",
     "opaque": "(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*[0-9])(?=[0-9+/_-]*[A-Za-z])[A-Za-z0-9+/_-]{32,}",
-    "endpoint": "(?<![A-Za-z0-9])(?:https?|s3|jdbc|postgres|mysql|redis|amqp|mongodb)://[^\\x20\\x09-\\x0D\"'<>]{4,200}",
+    "endpoint": "(?<![A-Za-z0-9])(?:https?|s3|jdbc|postgres|mysql|redis|amqp|mongodb)://[^\\x20\\x09-\\x0D\"'<>]{4,}",
 }
 ORDER = [*BASE, *WEAK]
 #: What a part is in a credential.
