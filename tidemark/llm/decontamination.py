@@ -10,9 +10,10 @@ differ in 19 bits on average, with a deviation of 4.
 The benchmark's index is broadcast. It is built for blocks of items of a bounded size (BLOCK_BYTES of text), and the
 documents are scanned once for each block, so that a large benchmark needs more scans and not more memory.
 
-Defined results: null and empty texts or items match nothing; items of fewer than five words are one shingle; a text
-shorter than an item is a single window; rows with a null or repeated doc_id are judged row by row; other columns are
-ignored, whatever their names; empty tables give no matches.
+Defined results: null and empty texts or items match nothing; items of fewer than five words are one shingle, and are
+found only where they are a whole text, not within a longer one; a text shorter than an item is a single window; rows
+with a null or repeated doc_id are judged row by row; other columns are ignored, whatever their names; empty tables give
+no matches.
 """
 
 from __future__ import annotations
