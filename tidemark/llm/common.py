@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 import numpy as np
@@ -30,40 +30,76 @@ def prepare(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one is set only where the session names none (local tests)."""
+    """The folder that driver and executors share. Where the session names none, a local one will do for a local master;
+    a cluster must name it, as its machines don't see each other's disks."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found
     jsc = spark.sparkContext._jsc.sc()
     if jsc.getCheckpointDir().isDefined():
         return jsc.getCheckpointDir().get()
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     local = tempfile.mkdtemp(prefix="checkpoints-")
     spark.sparkContext.setCheckpointDir(local)
     return local
 
 
+@contextmanager
+def tidy(spark: SparkSession):
+    """Shuffle files of what runs inside go when it ends. Nothing is read twice here: tables are cut before that."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, "false")
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: lineage ends there, and lost executors lose nothing."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    with tidy(spark):
+        df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.cut_path = path
+    return out
+
+
+def delete_folder(spark: SparkSession, name: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def discard(*frames: DataFrame) -> None:
-    """Delete tables that cut() wrote, once nothing reads them any more."""
+    """Delete tables that cut() returned, once nothing reads them any more."""
     for df in frames:
-        spark = df.sparkSession
-        for name in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-            if "/cut-" in name:
-                path = spark._jvm.org.apache.hadoop.fs.Path(name)
-                path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        delete_folder(df.sparkSession, df.cut_path)
+
+
+def is_empty(df: DataFrame) -> bool:
+    with tidy(df.sparkSession):
+        return df.isEmpty()
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Column names like these that df doesn't have, whatever it has."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark's cleaner drop the shuffle files of finished jobs now, not when the driver next collects garbage."""
-    gc.collect()
-    spark._jvm.System.gc()
+def tasks_for(df: DataFrame, per_task: int = 1 << 28) -> int:
+    """Tasks to deal df out to: the session's number, or more where its estimated bytes ask for it."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    known = size if size < 1 << 55 else 0  # Spark says a number near 2^63 where it doesn't know
+    return max(partitions(df.sparkSession), -(-known // per_task))
 
 
 def partitions(spark: SparkSession) -> int:

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import cut, discard
+from tidemark.llm.common import cut, discard, tidy
 
 
 #: Edges that one task may hold (16 bytes each).
@@ -58,17 +58,22 @@ def _round(edges: DataFrame, large: bool) -> DataFrame:
 
 
 def components(links: DataFrame, small: int = SMALL) -> DataFrame:
-    """node, label (the smallest node of its component) for all nodes of links (a, b)."""
+    """node, label (the smallest node of its component) for all nodes of links (a, b); a table that discard() takes."""
     edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u > v").distinct()
     edges, before = cut(edges), None
     if edges.count() <= small:
-        return _in_one_task(edges)
+        out = cut(_in_one_task(edges))
+        discard(edges)
+        return out
     while True:
-        mark = edges.agg(F.count("*").alias("n"), F.expr("bit_xor(xxhash64(u, v))").alias("x")).head()
+        with tidy(edges.sparkSession):
+            mark = edges.agg(F.count("*").alias("n"), F.expr("bit_xor(xxhash64(u, v))").alias("x")).head()
         if mark == before:
             break
         after = cut(_round(_round(edges, True), False))
         discard(edges)
         edges, before = after, mark
     tops = edges.select("v").distinct().select(F.col("v").alias("node"), F.col("v").alias("label"))
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(tops)
+    out = cut(edges.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(tops))
+    discard(edges)
+    return out

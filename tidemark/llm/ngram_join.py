@@ -16,7 +16,8 @@ compared with it; verified links are joined into components; contents that still
 most central members compared with the others, and only what then is left is looked at pair by pair. Comparisons are exact, on the shingles of the texts themselves; a count sketch of 256 cells
 (whose differences never exceed those of the sets) spares most vain ones.
 
-Shingles are compared by 64-bit hashes, and equal sets are one class by a 64-bit digest.
+Shingles are compared by 64-bit hashes, and equal sets are one class by a 64-bit digest. Nothing that grows with the documents
+comes to the driver, and each table that a step writes goes as soon as the next one has read it.
 
 Defined results: texts without words have 0 shingles and no links; fewer than five words are one shingle; rows with a
 null doc_id have a null component; rows that share a doc_id are one node, linked as any of them is; other columns are
@@ -33,13 +34,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import cut, discard, mix64, partitions, prepare, release, shingle_hashes, text_steps, word_hashes
+from tidemark.llm.common import cut, discard, is_empty, mix64, prepare, shingle_hashes, tasks_for, text_steps, tidy, word_hashes
 from tidemark.llm.components import components
 
 SHINGLE = 5
 CELLS, COARSE = 256, 64
 #: Documents and index entries that are dealt out at once.
 FLUSH_DOCS, FLUSH_ENTRIES = 1 << 13, 1 << 19
+#: Classes that a task remembers to have sketched.
+FLUSH_SEEN = 1 << 18
 #: Index entries for one task, about.
 TASK_ENTRIES = 1 << 21
 #: A content that more documents of one batch share than this goes on with one of them; the others are kept aside.
@@ -105,24 +108,42 @@ def _digest(shingles: np.ndarray) -> int:
 
 
 def _sketch(shingles: np.ndarray) -> bytes:
-    return np.bincount(shingles & np.uint64(CELLS - 1), minlength=CELLS).clip(max=0xFFFF).astype("<u2").tobytes()
+    return np.bincount(shingles & np.uint64(CELLS - 1), minlength=CELLS).clip(max=0xFF).astype(np.uint8).tobytes()
+
+
+def _sketches(column) -> np.ndarray:
+    """Rows of cells of a column of sketches."""
+    return np.frombuffer(b"".join(x.as_py() for x in column), np.uint8).reshape(len(column), CELLS).astype(np.int32)
 
 
 def set_classes(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, cls (null for an empty set), sketch of each row of docs (doc_id, text)."""
+    """doc_id, th, n_shingles, cls (null for an empty set), sketch of each row of docs (doc_id, th, text).
+
+    A set that a task has met lately isn't sketched again: some row (with a doc_id) of each class has a sketch, copies
+    mostly don't.
+    """
     prepare(docs.sparkSession)
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
+        seen: set[int] = set()
         for batch in batches:
-            n, cls, sketch = [], [], []
+            n, cls, sketch, named = [], [], [], batch.column("doc_id").is_valid().to_pylist()
             for _, _, sets in _sets(batch.column("text")):
-                n += map(len, sets)
-                cls += [_digest(s) if len(s) else None for s in sets]
-                sketch += [_sketch(s) if len(s) else None for s in sets]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(cls, pa.int64()), pa.array(sketch, pa.binary())], ["doc_id", "n_shingles", "cls", "sketch"])
+                for s in sets:
+                    c = _digest(s) if len(s) else None
+                    new = c is not None and c not in seen and named[len(n)]
+                    n.append(len(s))
+                    cls.append(c)
+                    sketch.append(_sketch(s) if new else None)
+                    if new:
+                        seen.add(c)
+            if len(seen) > FLUSH_SEEN:
+                seen.clear()
+            arrays = [batch.column("doc_id"), batch.column("th"), pa.array(n, pa.int64()), pa.array(cls, pa.int64()), pa.array(sketch, pa.binary())]
+            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "th", "n_shingles", "cls", "sketch"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {id_type}, n_shingles long, cls long, sketch binary")
+    return docs.select("doc_id", "th", "text").mapInArrow(run, f"doc_id {id_type}, th long, n_shingles long, cls long, sketch binary")
 
 
 @lru_cache(maxsize=1)
@@ -318,22 +339,26 @@ def _near(pairs: DataFrame, classes: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            n = batch.num_rows
-            s = [np.frombuffer(b"".join(x.as_py() for x in batch.column(c)), "<u2").reshape(n, CELLS).astype(np.int32) for c in ("s_a", "s_b")]
+            s = [_sketches(batch.column(c)) for c in ("s_a", "s_b")]
             most = (batch.column("n_a").to_numpy() + batch.column("n_b").to_numpy()) // 9
             yield batch.filter(pa.array(np.abs(s[0] - s[1]).sum(1) <= most)).select(["a", "b"])
 
     return both.mapInArrow(run, "a long, b long")
 
 
-def verify(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
+def class_texts(docs: DataFrame, classes: DataFrame, candidates: DataFrame) -> DataFrame:
+    """node, text: one text of each class among candidates (node). Texts are dealt out once here, not for each comparison."""
+    reps = candidates.distinct().join(classes.select(F.col("cls").alias("node"), "rep.*"), "node")
+    # Repeated rows are one before they are dealt out.
+    return docs.groupBy("doc_id", "th").agg(F.first("text").alias("text")).join(reps, ["doc_id", "th"]).select("node", "text")
+
+
+def verify(pairs: DataFrame, texts: DataFrame, tasks: int) -> DataFrame:
     """Of pairs (a, b), those with similarity of at least 0.8: each hub's text meets its members' texts, one by one."""
-    tasks = partitions(docs.sparkSession)
     shares = pairs.groupBy("a").agg(F.ceil(F.count("*") / HUB_SHARE).cast("int").alias("shares"))
     members = pairs.join(shares, "a").select(F.col("a").alias("hub"), F.pmod(F.xxhash64("b"), F.col("shares")).cast("int").alias("share"), F.lit(1).alias("role"), F.col("b").alias("node"))
     hubs = shares.select(F.col("a").alias("hub"), F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"), F.lit(0).alias("role"), F.col("a").alias("node"))
-    need = hubs.unionByName(members).join(classes.select(F.col("cls").alias("node"), F.col("rep").alias("doc_id")), "node")
-    texts = docs.select("doc_id", "text").join(need, "doc_id").select("hub", "share", "role", "node", "text")
+    met = hubs.unionByName(members).join(texts, "node")
 
     def run(batches):
         hub, own = None, None
@@ -342,8 +367,6 @@ def verify(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
             a, b = [], []
             for first, _, sets in _sets(batch.column("text")):
                 for k, s in enumerate(sets, first):
-                    if not len(s) or _digest(s) != nodes[k]:
-                        continue  # another text with this doc_id
                     if roles[k] == 0:
                         hub, own = hubs[k], s
                     elif hub == hubs[k]:
@@ -355,7 +378,7 @@ def verify(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
                             b.append(nodes[k])
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    placed = texts.repartition(tasks, "hub", "share").sortWithinPartitions("hub", "share", "role")
+    placed = met.repartition(tasks, "hub", "share").sortWithinPartitions("hub", "share", "role")
     return placed.mapInArrow(run, "a long, b long").distinct()
 
 
@@ -403,7 +426,7 @@ def _tile_pairs(cls, role, label, size, sketch, block):
     return out
 
 
-def _all_pairs(still: DataFrame, classes: DataFrame) -> DataFrame:
+def _all_pairs(still: DataFrame, classes: DataFrame, tasks: int) -> DataFrame:
     """a, b: members of different components that share a content which neither may leave out, near enough by sketch.
 
     Members of a content meet in tiles of two blocks, of a bounded number each; only what may be a link leaves a tile.
@@ -426,7 +449,7 @@ def _all_pairs(still: DataFrame, classes: DataFrame) -> DataFrame:
         for batch in batches:
             tile = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in ("key", "i", "j")], 1)
             columns = [batch.column(c).to_numpy().astype(np.int64) for c in ("cls", "role", "label", "size", "block")]
-            sketch = np.frombuffer(b"".join(x.as_py() for x in batch.column("sketch")), "<u2").reshape(batch.num_rows, CELLS).astype(np.int32)
+            sketch = _sketches(batch.column("sketch"))
             cuts = [0, *(np.flatnonzero((tile[1:] != tile[:-1]).any(1)) + 1).tolist(), batch.num_rows]
             made = []
             for a, b in zip(cuts, cuts[1:], strict=False):
@@ -445,66 +468,109 @@ def _all_pairs(still: DataFrame, classes: DataFrame) -> DataFrame:
         pairs = np.unique(np.concatenate(made), axis=0)
         return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, k])) for k in (0, 1)], ["a", "b"])
 
-    placed = rows.repartition(partitions(still.sparkSession), "key", "i", "j").sortWithinPartitions("key", "i", "j")
+    placed = rows.repartition(tasks, "key", "i", "j").sortWithinPartitions("key", "i", "j")
     return placed.mapInArrow(run, "a long, b long").distinct()
 
 
-def link_classes(docs: DataFrame, classes: DataFrame, tasks: int) -> DataFrame:
-    """a, b: enough links between classes (cls, n, sketch, rep) to join all that are linked.
+def link_classes(docs: DataFrame, classes: DataFrame, tasks: int) -> list[DataFrame]:
+    """Tables (a, b) of enough links between classes (cls, n, sketch, rep) to join all that are linked.
 
     First each set meets one hub; then the other hubs of other components; then, while that finds links, the most
     central member of each open content; last, whatever pairs of different components an open content still holds.
     """
-    spark = docs.sparkSession
     met = cut(_meet(_deal(docs, tasks), tasks))
-    release(spark)
     sort = lambda df: df.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     stars = cut(_near(sort(met.filter("kind = 0")), classes))
     members = cut(_members(met))
     discard(met)
-    tried = cut(stars.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
-    links = cut(verify(tried, docs, classes))
+    texts = cut(class_texts(docs, classes, stars.select(F.col("a").alias("node")).unionByName(stars.select(F.col("b").alias("node"))).unionByName(members.select(F.col("cls").alias("node")))))
+    tried = [cut(stars.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))]
+    links = [cut(verify(tried[0], texts, tasks))]
     found = True
     for step in ("stars", *["hubs"] * HUB_ROUNDS, "all"):
         if step == "hubs" and not found:
             continue
-        labels = cut(components(links))
+        labels = components(_union(links))
         side = lambda x: labels.select(F.col("node").alias(x), F.col("label").alias(f"l{x}"))  # noqa: B023, E731
+        spent = [labels]
         if step == "stars":
             pairs = stars.join(side("a"), "a", "left").join(side("b"), "b", "left").filter(F.coalesce("la", "a") != F.coalesce("lb", "b")).select("a", "b")
+            spent.append(stars)
         else:
             still = cut(_open(members, labels))
-            pairs = _near(_hub_pairs(still), classes) if step == "hubs" else _all_pairs(still, classes)
-        more = cut(pairs.join(tried, ["a", "b"], "left_anti"))
+            pairs = _near(_hub_pairs(still), classes) if step == "hubs" else _all_pairs(still, classes, tasks)
+            spent.append(still)
+        more = cut(pairs.join(_union(tried), ["a", "b"], "left_anti"))
         found = False
-        if not more.isEmpty():
-            new = cut(verify(more, docs, classes))
-            found = not new.isEmpty()
-            tried, links = tried.unionByName(more), links.unionByName(new)
-        release(spark)
+        if not is_empty(more):
+            new = cut(verify(more, texts, tasks))
+            found = not is_empty(new)
+            tried.append(more)
+            links.append(new)
+        else:
+            spent.append(more)
+        discard(*spent)
+    discard(texts, members, *tried)
     return links
 
 
-def join_near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id of each row of docs (doc_id, text)."""
+def _union(tables: list[DataFrame]) -> DataFrame:
+    out = tables[0]
+    for x in tables[1:]:
+        out = out.unionByName(x)
+    return out
+
+
+def classed(docs: DataFrame) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
+    """Rows (doc_id, th, n_shingles, cls), classes (cls, rep, n) and tables of links (a, b) between classes, all cut.
+
+    A class is a set of shingles, th a hash of the text, rep the class's least (doc_id, th).
+    """
     spark = docs.sparkSession
     prepare(spark)
-    docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("th", F.xxhash64("text"))
     sets = cut(set_classes(docs))
-    classes = cut(sets.filter("cls IS NOT NULL AND doc_id IS NOT NULL").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch")))
-    total = classes.agg(F.sum("n")).head()[0] or 0
-    links = link_classes(docs, classes, max(partitions(spark), math.ceil(0.7 * total / TASK_ENTRIES)))
+    named = sets.filter("cls IS NOT NULL AND doc_id IS NOT NULL")
+    classes = cut(named.groupBy("cls").agg(F.min(F.struct("doc_id", "th")).alias("rep"), F.first("n_shingles").alias("n"), F.first("sketch", ignorenulls=True).alias("sketch")))
+    with tidy(spark):
+        total = classes.agg(F.sum("n")).head()[0] or 0
+    tasks = max(tasks_for(docs), math.ceil(0.7 * total / TASK_ENTRIES))
+    return sets, classes, link_classes(docs, classes, tasks)
+
+
+def join_near_duplicates(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id of each row of docs (doc_id, text)."""
+    sets, classes, links = classed(docs)
     # Rows that share a doc_id tie their classes together.
-    shared = sets.filter("cls IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("cls").alias("a"), F.max("cls").alias("z")).filter("a <> z")
-    tied = sets.filter("cls IS NOT NULL").join(shared.select("doc_id", "a"), "doc_id").select("a", F.col("cls").alias("b")).filter("a <> b")
-    labels = cut(components(links.unionByName(tied)))
-    named = classes.select("cls", "rep").join(labels.select(F.col("node").alias("cls"), "label"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
-    least = named.groupBy("label").agg(F.min("rep").alias("component_id"))
-    of = cut(named.join(least, "label").select("cls", "component_id"))
+    named = sets.filter("cls IS NOT NULL AND doc_id IS NOT NULL")
+    shared = named.groupBy("doc_id").agg(F.min("cls").alias("a"), F.max("cls").alias("z")).filter("a <> z")
+    tied = named.join(shared.select("doc_id", "a"), "doc_id").select("a", F.col("cls").alias("b")).filter("a <> b")
+    labels = components(_union(links).unionByName(tied))
+    least = _least_of_components(classes.withColumn("rep", F.col("rep.doc_id")), labels)
+    of = cut(least.select("cls", F.col("least").alias("component_id")))
+    discard(labels, classes, *links)
     out = sets.select("doc_id", "n_shingles", "cls").join(of, "cls", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"))
 
 
+def _least_of_components(classes: DataFrame, labels: DataFrame) -> DataFrame:
+    """cls, rep, least: the least rep of the class's component."""
+    named = classes.select("cls", "rep").join(labels.select(F.col("node").alias("cls"), "label"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
+    return named.join(named.groupBy("label").agg(F.min("rep").alias("least")), "label")
+
+
+def representatives(docs: DataFrame) -> DataFrame:
+    """doc_id, th (a hash of the text): of each group of near duplicates the row of the least (doc_id, th).
+
+    Groups are of texts: rows that share a doc_id and nothing else are not one. Rows without words or doc_id have none.
+    """
+    sets, classes, links = classed(docs)
+    labels = components(_union(links))
+    stay = cut(_least_of_components(classes, labels).filter("rep = least").select("rep.*"))
+    discard(sets, classes, labels, *links)
+    return stay
+
+
 def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return join_near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))

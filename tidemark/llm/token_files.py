@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.bytepieces import encoder
-from tidemark.llm.common import partitions, prepare, release, shared_dir
+from tidemark.llm.common import delete_folder, prepare, shared_dir, tasks_for, tidy
 
 #: Lengths of the four values that a control byte stands for, and their sum.
 LENGTHS = ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3).astype(np.int64) + 1
@@ -56,7 +56,7 @@ def write_token_files(docs: DataFrame, path: str, folder: str, end_id: int = 2)
     prepare(spark)
     vocabulary = max(encoder(path).tokenizer.get_vocab_size(with_added_tokens=True), end_id + 1)
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("tie", F.xxhash64("text"))
-    placed = rows.repartitionByRange(partitions(spark), "doc_id", "tie").sortWithinPartitions("doc_id", "tie", "text")
+    placed = rows.repartitionByRange(tasks_for(rows), "doc_id", "tie").sortWithinPartitions("doc_id", "tie", "text")
     placed = placed.withColumn("part", F.spark_partition_id()).select("doc_id", "part", "text")
 
     def encode(batches):
@@ -68,13 +68,14 @@ def write_token_files(docs: DataFrame, path: str, folder: str, end_id: int = 2)
                 text = np.repeat(np.arange(end - first), count - 1)
                 out[np.arange(len(ids)) + text] = ids
                 narrow = out.astype("<u2") if vocabulary <= 1 << 16 else out.astype("<u4")
-                yield pa.RecordBatch.from_arrays([batch.column("part")[first : first + 1], pa.array([block], pa.int64()), pa.array([batch.column("doc_id")[first:end].to_pylist()], pa.list_(pa.int64())), pa.array([count.tolist()], pa.list_(pa.int64())), pa.array([narrow.tobytes()], pa.binary())], ["part", "block", "doc_ids", "counts", "ids"])
+                yield pa.RecordBatch.from_arrays([batch.column("part")[first : first + 1], pa.array([block], pa.int64()), pa.ListArray.from_arrays(pa.array([0, end - first], pa.int32()), batch.column("doc_id").slice(first, end - first)), pa.array([count.tolist()], pa.list_(pa.int64())), pa.array([narrow.tobytes()], pa.binary())], ["part", "block", "doc_ids", "counts", "ids"])
                 block += 1
 
     kind = "<u2" if vocabulary <= 1 << 16 else "<u4"
     staged = f"{folder}/staged"
-    placed.mapInArrow(encode, "part int, block long, doc_ids array<long>, counts array<long>, ids binary").write.option("compression", "zstd").parquet(staged)
-    release(spark)
+    id_type = docs.schema["doc_id"].dataType.simpleString()
+    with tidy(spark):
+        placed.mapInArrow(encode, f"part int, block long, doc_ids array<{id_type}>, counts array<long>, ids binary").write.option("compression", "zstd").parquet(staged)
     ids = spark.read.parquet(staged)
 
     def tally(batches):
@@ -98,27 +99,28 @@ def write_token_files(docs: DataFrame, path: str, folder: str, end_id: int = 2)
             sizes = [len(x.as_buffer()) // int(kind[-1]) for x in batch.column("ids")]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("part", "block", "doc_ids", "counts")), pa.array(sizes, pa.int64()), pa.array([c for c, _ in packed], pa.binary()), pa.array([d for _, d in packed], pa.binary())], ["part", "block", "doc_ids", "counts", "n_ids", "control", "data"])
 
-    made = ids.mapInArrow(write, "part int, block long, doc_ids array<long>, counts array<long>, n_ids long, control binary, data binary")
+    made = ids.mapInArrow(write, f"part int, block long, doc_ids array<{id_type}>, counts array<long>, n_ids long, control binary, data binary")
     made.write.option("compression", "zstd").parquet(f"{folder}/blocks")
-    target = spark._jvm.org.apache.hadoop.fs.Path(staged)
-    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+    delete_folder(spark, staged)
 
 
 def read_token_files(spark: SparkSession, folder: str) -> DataFrame:
     """part, block, place, doc_id, ids (little-endian unsigned 32-bit) of each document of a file set."""
     prepare(spark)
     order = np.array(spark.read.parquet(f"{folder}/ranks").head()["ids"], np.uint32)
+    blocks = spark.read.parquet(f"{folder}/blocks")
+    id_type = blocks.schema["doc_ids"].dataType.elementType.simpleString()
 
     def read(batches):
         for batch in batches:
-            for row in batch.to_pylist():
+            for k, row in enumerate(batch.select(["part", "block", "counts", "n_ids", "control", "data"]).to_pylist()):
                 ids = order[unpack(row["control"], row["data"], row["n_ids"])] if row["n_ids"] else np.zeros(0, np.uint32)
                 stop = np.cumsum(row["counts"]).tolist()
                 n = len(stop)
                 parts = [ids[b - c : b].tobytes() for b, c in zip(stop, row["counts"], strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array([row["part"]] * n, pa.int32()), pa.array([row["block"]] * n, pa.int64()), pa.array(range(n), pa.int64()), pa.array(row["doc_ids"], pa.int64()), pa.array(parts, pa.binary())], ["part", "block", "place", "doc_id", "ids"])
+                yield pa.RecordBatch.from_arrays([pa.array([row["part"]] * n, pa.int32()), pa.array([row["block"]] * n, pa.int64()), pa.array(range(n), pa.int64()), batch.column("doc_ids")[k].values, pa.array(parts, pa.binary())], ["part", "block", "place", "doc_id", "ids"])
 
-    return spark.read.parquet(f"{folder}/blocks").mapInArrow(read, "part int, block long, place long, doc_id long, ids binary")
+    return blocks.mapInArrow(read, f"part int, block long, place long, doc_id {id_type}, ids binary")
 
 
 def token_digests(spark: SparkSession, folder: str) -> DataFrame:
@@ -129,7 +131,9 @@ def token_digests(spark: SparkSession, folder: str) -> DataFrame:
             ids = [x.as_buffer() for x in batch.column("ids")]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("part", "block", "place", "doc_id")), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array([zlib.crc32(x) for x in ids], pa.int64())], ["part", "block", "place", "doc_id", "n_tokens", "ids_crc32"])
 
-    rows = read_token_files(spark, folder).mapInArrow(digest, "part int, block long, place long, doc_id long, n_tokens long, ids_crc32 long")
+    found = read_token_files(spark, folder)
+    id_type = found.schema["doc_id"].dataType.simpleString()
+    rows = found.mapInArrow(digest, f"part int, block long, place long, doc_id {id_type}, n_tokens long, ids_crc32 long")
     # A row for each part comes to the driver; parts are as many as shuffle partitions.
     sizes = {r["part"]: r["n"] for r in spark.read.parquet(f"{folder}/blocks").groupBy("part").agg(F.sum("n_ids").alias("n")).collect()}
     base, total = [], 0
