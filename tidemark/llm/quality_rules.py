@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import cut
+from tidemark.llm.common import cut, discard, is_empty
 
 SPACES = "[\\x20\\x09-\\x0D]+"
 _BLANKS = " \t\n\x0b\x0c\r"
@@ -36,7 +36,13 @@ MIN_WORDS = 20
 
 
 def _windows(words: Column, n: Column) -> Column:
-    return F.when(n >= WINDOW, F.transform(F.sequence(F.lit(0), n - WINDOW), lambda i: F.xxhash64(*(F.get(words, i + k) for k in range(WINDOW))))).otherwise(F.array().cast("array<long>"))
+    """Hashes of all runs of WINDOW (a power of two) words, from those of runs half as long."""
+    runs, size = words, 1
+    while size < WINDOW:
+        left = F.greatest(n - 2 * size + 1, F.lit(0))
+        runs = F.zip_with(F.slice(runs, 1, left), F.slice(runs, size + 1, left), lambda x, y: F.xxhash64(x, y))
+        size *= 2
+    return F.when(n >= WINDOW, runs).otherwise(F.array().cast("array<long>"))
 
 
 def base_metrics(docs: DataFrame, *kept: str) -> DataFrame:
@@ -70,10 +76,11 @@ def base_metrics(docs: DataFrame, *kept: str) -> DataFrame:
     return rows.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words")))
 
 
-def contents(measured: DataFrame) -> DataFrame:
-    """host, sid (a sketch's hash) and content of all sketches. measured: host, sketch."""
+def contents(measured: DataFrame, tables: list[DataFrame]) -> DataFrame:
+    """host, sid (a sketch's hash) and content of all sketches. measured: host, sketch. tables gets what it cuts."""
     sketches = measured.groupBy("host", F.xxhash64("sketch").alias("sid")).agg(F.count("*").alias("docs"), F.first("sketch").alias("sketch"))
     values = cut(sketches.select("host", "sid", "docs", F.explode(F.array_distinct("sketch")).alias("v")))
+    tables.append(values)
     shared = values.groupBy("host", "v").agg(F.sum("docs").alias("times")).filter("times > 1")
     size_class = F.coalesce(F.length(F.bin("times")), F.lit(0)).alias("size_class")  # 0: no other document has it
     classes = values.join(shared, ["host", "v"], "left").groupBy("host", "sid", size_class).agg(F.count("*").alias("n"), F.min("v").alias("v"))
@@ -82,36 +89,46 @@ def contents(measured: DataFrame) -> DataFrame:
     return found.select("host", "sid", F.when(2 * F.col("own") >= F.col("n"), F.col("sid")).otherwise(F.col("most.v")).alias("content"))
 
 
-def common_lines(measured: DataFrame, max_docs: int = MAX_DOCS, min_classes: int = MIN_CLASSES) -> DataFrame:
-    """host, h, n_docs of lines over the limits. measured: host, n_words, lines, sketch."""
+def common_lines(measured: DataFrame, max_docs: int = MAX_DOCS, min_classes: int = MIN_CLASSES, tables: list[DataFrame] | None = None) -> DataFrame:
+    """host, h, n_docs of lines over the limits. measured: host, n_words, lines, sketch. tables gets what it cuts."""
+    tables = [] if tables is None else tables
     size_class = F.length(F.bin(F.col("n_words") * F.col("n_words"))) - 1  # twice the binary logarithm, rounded down
     each = measured.select("host", "sketch", F.call_function("shiftleft", F.lit(1).cast("long"), size_class).alias("bit"), F.explode(F.array_distinct(F.transform("lines", lambda x: x["h"]))).alias("h"))
     counted = each.groupBy("host", "h").agg(F.count("*").alias("n_docs"), F.bit_count(F.bit_or("bit")).alias("classes"))
     counted = cut(counted.filter(F.col("n_docs") > max_docs))
+    tables.append(counted)
     wide = counted.filter(F.col("classes") >= min_classes).select("host", "h", "n_docs")
     narrow = counted.filter(F.col("classes") < min_classes).select("host", "h", "n_docs")
-    if narrow.isEmpty():
+    if is_empty(narrow):
         return wide
     held = cut(each.join(narrow, ["host", "h"]).select("host", "h", F.xxhash64("sketch").alias("sid")).distinct())
+    tables.append(held)
     sketched = measured.withColumn("sid", F.xxhash64("sketch")).join(held.select("host", "sid").distinct(), ["host", "sid"], "left_semi")
-    met = held.join(contents(sketched), ["host", "sid"]).select("host", "h", "content").distinct()
+    met = held.join(contents(sketched, tables), ["host", "sid"]).select("host", "h", "content").distinct()
     many = met.groupBy("host", "h").agg(F.count("*").alias("n_contents")).filter(F.col("n_contents") > max_docs)
     return wide.unionByName(narrow.join(many, ["host", "h"], "left_semi"))
 
 
 def judge(docs: DataFrame, *kept: str, max_docs: int = MAX_DOCS, min_classes: int = MIN_CLASSES) -> DataFrame:
     """kept columns of each row of docs (text, source), its base metrics, chars left after line removal, and kept."""
+    return judged(docs, *kept, max_docs=max_docs, min_classes=min_classes)[0]
+
+
+def judged(docs: DataFrame, *kept: str, max_docs: int = MAX_DOCS, min_classes: int = MIN_CLASSES) -> tuple[DataFrame, list[DataFrame]]:
+    """judge(), and the tables that it reads, to be discarded after it."""
     rows = docs.withColumn("_rid", F.monotonically_increasing_id())
     rows = rows.withColumn("_host", F.coalesce(F.concat(F.lit("h"), F.col("source").cast("string")), F.lit("")))
-    measured = cut(base_metrics(rows, "_rid", "_host", *kept)).withColumnRenamed("_host", "host")
-    common = cut(common_lines(measured, max_docs, min_classes))
+    table, tables = cut(base_metrics(rows, "_rid", "_host", *kept)), []
+    measured = table.withColumnRenamed("_host", "host")
+    common = cut(common_lines(measured, max_docs, min_classes, tables))
+    discard(*tables)
     lost = measured.select("_rid", "host", F.explode("lines").alias("line")).select("_rid", "host", F.col("line.h").alias("h"), F.col("line.chars").alias("chars"))
     lost = lost.join(common, ["host", "h"]).groupBy("_rid").agg(F.sum("chars").alias("lost"))
     left = F.col("word_chars") - F.coalesce("lost", F.lit(0))
     out = measured.drop("lines", "sketch", "host").join(lost, "_rid", "left").withColumn("chars_left", left).drop("_rid", "lost")
     # A word has about five characters: less than the least number of words, or under a tenth of the text, is depleted.
     depleted = (F.col("chars_left") < 5 * MIN_WORDS) & (F.col("chars_left") < F.col("word_chars")) | (10 * F.col("chars_left") < F.col("word_chars"))
-    return out.withColumn("kept", ~F.col("base_failed") & ~depleted)
+    return out.withColumn("kept", ~F.col("base_failed") & ~depleted), [table, common]
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -122,7 +139,7 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: Boilerplate hashes differ between engines, so the SQL compares normalised lines themselves.
 OP7_SQL = r"""
 WITH t AS (
-  SELECT doc_id, 'h' || source AS host, coalesce(text, '') AS text,
+  SELECT doc_id, coalesce('h' || source, '') AS host, coalesce(text, '') AS text,
          list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS words,
          list_filter(string_split(coalesce(text, ''), chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS lines
   FROM documents),
