@@ -4,6 +4,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 from tokenizers import Tokenizer
 
 from tidemark.llm.bytepieces import PieceEncoder
@@ -105,3 +106,42 @@ def test_a_fresh_encoder_counts_pieces():
     text = " ".join(f"word{k} it's" for k in range(3000))
     start, before, total = piece_counts(PieceEncoder(PATH), text)
     assert total == len(library([text])[0]) and before[-1] < total and start[0] == 0
+
+
+def test_long_texts_in_parts(monkeypatch):
+    from tidemark.llm import bytepieces
+
+    rng = np.random.default_rng(4)
+    marks = ["'s", "'ll", " ", "  ", "\n\n", "\t", " ", "　", "\u0085", "a", "B", "é", "ß", "7", "42", "!", "'", "''", "…", "<|endoftext|>", "x1y2", "don't", "re'", "日本"]
+    texts = ["".join(rng.choice(marks, 4000)) for _ in range(6)] + ["a" * 3000 + "1" * 3000, "é" * 5000, "'" * 5000, "y'7" * 3000, " " * 5000 + "x"]
+    monkeypatch.setattr(bytepieces, "STEP", 64)
+    monkeypatch.setattr(bytepieces, "RUN", 50)
+    monkeypatch.setattr(bytepieces, "MEMORY", 100)
+    enc, want = PieceEncoder(PATH), library(texts)
+    for t, ids in zip(texts, want, strict=True):
+        raw = np.frombuffer(t.encode(), np.uint8)
+        assert enc._long(raw).tolist() == ids
+        plain = np.frombuffer(t.replace("<|endoftext|>", "").encode(), np.uint8)
+        cuts = [0, *bytepieces.part_ends(plain, 64)]
+        assert cuts[-1] == len(plain) and all(a < b for a, b in zip(cuts, cuts[1:], strict=False))
+    got = [ids[places[k] : places[k + 1]].tolist() for first, end, ids, places in enc.steps(pa.array(texts)) for k in range(end - first)]
+    assert got == want
+
+
+def test_a_text_of_two_million_words_ends():
+    text = " ".join(f"w{k:x}q" for k in range(2_200_000))
+    got = next(PieceEncoder(PATH).steps(pa.array([text], pa.large_string())))
+    tokenizer, at, size = Tokenizer.from_file(PATH), 0, 0
+    words = text.split(" ")
+    for k in range(0, len(words), 500_000):  # the library gets it in parts, cut before blanks
+        part = ("" if k == 0 else " ") + " ".join(words[k : k + 500_000])
+        ids = np.array(tokenizer.encode(part, add_special_tokens=False).ids, np.uint32)
+        assert (got[2][at : at + len(ids)] == ids).all()
+        at += len(ids)
+    assert at == len(got[2])
+
+
+def test_files_of_other_ids(spark, tmp_path):
+    docs = spark.createDataFrame([("b", "two words"), ("a", None), (None, "x")], "doc_id string, text string")
+    write_token_files(docs, PATH, f"file://{tmp_path}/b")
+    assert [(r.doc_id, r.start) for r in token_digests(spark, f"file://{tmp_path}/b").orderBy("start").collect()] == [(None, 0), ("a", 2), ("b", 3)]

@@ -3,18 +3,23 @@
 The library's pre-tokenizer splits a text into pieces, and each piece is merged on its own. So texts are split with
 numpy (the same rule, by character class), the distinct pieces of a worker go through the library once, and ids are
 looked up by 64-bit piece hashes. Texts that hold an added token's string go to the library whole.
+
+Memory is bounded whatever the texts: pieces are looked up in runs of a bounded number, and a long text is worked on in
+parts. It is cut before white space that follows another character, or else where letters and digits meet, which are
+places where the rule always begins a piece and looks at nothing before; and at added tokens.
 """
 
 from __future__ import annotations
 
 import json
+import re
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from tokenizers import Tokenizer
 
-from tidemark.llm.common import mix64, powers, span_hashes, text_steps
+from tidemark.llm.common import mix64, span_hashes, text_steps
 
 LETTER, NUMBER, SPACE, OTHER = 0, 1, 2, 3
 #: Pieces that a worker remembers; beyond it the memory starts anew.
@@ -22,8 +27,35 @@ MEMORY = 1 << 20
 #: Pieces that go to the library at once.
 GROUP = 1000
 _APOSTROPHE = 39
-#: Bytes of text for one vectorised step.
+#: Bytes of text for one vectorised step; a longer text is cut into parts of about as many.
 STEP = 1 << 18
+#: Pieces that are looked up at once, fewer than MEMORY.
+RUN = 1 << 17
+_KIND = np.zeros(256, np.uint8)  # of bytes: 1 letter, 2 digit, 3 other printable ASCII but the apostrophe, 4 blank
+_KIND[33:127] = 3
+_KIND[[*range(65, 91), *range(97, 123)]] = 1
+_KIND[48:58] = 2
+_KIND[39] = 0
+_KIND[[9, 10, 11, 12, 13, 32]] = 4
+
+
+def part_ends(raw: np.ndarray, step: int = STEP) -> list[int]:
+    """Where to cut a text's bytes into parts of about step bytes, its end included. A part without such a place is longer."""
+    out, at = [], 0
+    while len(raw) - at > 2 * step:
+        look, found = at + step, None
+        while found is None and look < len(raw):
+            kind = _KIND[raw[look - 1 : look + step]]
+            for hit in ((kind[1:] == 4) & (kind[:-1] > 0) & (kind[:-1] < 4), ((kind[1:] == 2) & (kind[:-1] == 1)) | ((kind[1:] == 1) & (kind[:-1] == 2))):
+                if hit.any():
+                    found = look + int(hit.argmax())
+                    break
+            look += step
+        if found is None:
+            break
+        out.append(found)
+        at = found
+    return [*out, len(raw)]
 
 
 class PieceEncoder:
@@ -33,7 +65,10 @@ class PieceEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.added = [x["content"] for x in json.loads(self.tokenizer.to_str())["added_tokens"]]
+        added = json.loads(self.tokenizer.to_str())["added_tokens"]
+        self.added = [x["content"] for x in added]
+        # A plain added token is cut out of a text and leaves what stands around it as it is.
+        self.plain = {x["content"]: x["id"] for x in added if not (x["lstrip"] or x["rstrip"] or x["single_word"])}
         kind = json.loads(self.tokenizer.to_str())["pre_tokenizer"]
         self.split = bool(kind) and kind.get("type") == "ByteLevel" and kind.get("use_regex") and not kind.get("add_prefix_space") and self.tokenizer.normalizer is None
         self.classes = np.full(0x110000, -1, np.int8)
@@ -153,9 +188,10 @@ class PieceEncoder:
         total = np.cumsum(sizes, dtype=np.int64)
         return ids[np.arange(len(ids)) - np.repeat(total - sizes - begin, sizes)], sizes
 
-    def numbers(self, codes: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """Number of each piece codes[begin:end] in the memory."""
-        powers(len(codes) + 1)
+    def _numbers(self, codes: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Number of each piece codes[begin:end] in the memory; RUN pieces at most, as the memory may start anew."""
+        a, b = int(begin[0]), int(end[-1])
+        codes, begin, end = codes[a:b], begin - a, end - a
         hashes = span_hashes(self.values[codes], begin, end) | np.uint64(1)
         found = self._find(hashes)
         new = np.flatnonzero(found < 0)
@@ -173,6 +209,21 @@ class PieceEncoder:
             found = self._find(hashes)
         return found
 
+    def counts(self, codes: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """How many ids each piece codes[begin:end] has."""
+        parts = [np.zeros(0, np.int64)]
+        for a in range(0, len(begin), RUN):
+            numbers = self._numbers(codes, begin[a : a + RUN], end[a : a + RUN])  # may replace the memory, so it comes first
+            parts.append(self.lengths[numbers])
+        return np.concatenate(parts)
+
+    def encoded(self, codes: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all pieces codes[begin:end] in a row, their count by piece)."""
+        parts = [self.gather(self._numbers(codes, begin[a : a + RUN], end[a : a + RUN])) for a in range(0, len(begin), RUN)]
+        if len(parts) == 1:
+            return parts[0]
+        return (np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])) if parts else (np.zeros(0, np.uint32), np.zeros(0, np.int64))
+
     def gather(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all pieces in a row, their count by piece)."""
         count = self.lengths[numbers].astype(np.int64)
@@ -183,6 +234,10 @@ class PieceEncoder:
     def steps(self, column: pa.Array):
         """Yields (first row, end row, ids in a row, first id of each row (n + 1)) for runs of rows."""
         for first, end, raw, off in text_steps(column, STEP):
+            if self.split and end - first == 1 and len(raw) > 2 * STEP:
+                ids = self._long(raw)
+                yield first, end, ids, np.array([0, len(ids)])
+                continue
             whole = raw.tobytes()
             if not self.split or any(a.encode() in whole for a in self.added):
                 got = [self._direct(whole[a:b].decode()) for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)]
@@ -190,16 +245,41 @@ class PieceEncoder:
                 np.cumsum([len(x) for x in got], out=places[1:])
                 yield first, end, np.concatenate(got) if got else np.zeros(0, np.uint32), places
                 continue
-            codes = np.frombuffer(whole.decode().encode("utf-32-le"), np.uint32)
-            lead = np.zeros(len(raw) + 1, np.int64)
-            np.cumsum((raw & 0xC0) != 0x80, out=lead[1:])
-            off = lead[off]
-            begin = np.flatnonzero(self.pieces(codes, off))
-            stop = np.append(begin[1:], len(codes))
-            ids, count = self.gather(self.numbers(codes, begin, stop))
-            total = np.zeros(len(count) + 1, np.int64)
-            np.cumsum(count, out=total[1:])
-            yield first, end, ids, total[np.searchsorted(begin, off)]
+            ids, places = self._ids(raw, off)
+            yield first, end, ids, places
+
+    def _ids(self, raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of texts laid end to end, first id of each (n + 1)); none holds an added token."""
+        codes = np.frombuffer(raw.tobytes().decode().encode("utf-32-le"), np.uint32)
+        lead = np.zeros(len(raw) + 1, np.int64)
+        np.cumsum((raw & 0xC0) != 0x80, out=lead[1:])
+        off = lead[off]
+        begin = np.flatnonzero(self.pieces(codes, off))
+        ids, count = self.encoded(codes, begin, np.append(begin[1:], len(codes)))
+        total = np.zeros(len(count) + 1, np.int64)
+        np.cumsum(count, out=total[1:])
+        return ids, total[np.searchsorted(begin, off)]
+
+    def _long(self, raw: np.ndarray) -> np.ndarray:
+        """The ids of a long text, part by part. The library gets it whole only for added tokens that change what is
+        around them."""
+        whole = raw.tobytes()
+        if any(a.encode() in whole for a in self.added if a not in self.plain):
+            return np.array(self.tokenizer.encode(whole.decode(), add_special_tokens=False).ids, np.uint32)
+        # The longest of several added tokens at a place counts, as in the library.
+        found = re.finditer(b"|".join(re.escape(a.encode()) for a in sorted(self.plain, key=len, reverse=True)), whole) if self.plain else ()
+        out, at = [], 0
+        for m in [*found, None]:
+            stop = m.start() if m else len(raw)
+            start = at
+            for end in part_ends(raw[at:stop]) if stop > at else ():
+                part = raw[start : at + end]
+                out.append(self._ids(part, np.array([0, len(part)]))[0])
+                start = at + end
+            if m:
+                out.append(np.array([self.plain[m[0].decode()]], np.uint32))
+                at = m.end()
+        return np.concatenate(out) if out else np.zeros(0, np.uint32)
 
     def _direct(self, text: str) -> np.ndarray:
         """A text's ids, split at added tokens by the library; the parts between them go through the memory."""

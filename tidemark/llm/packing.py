@@ -19,11 +19,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.bytepieces import encoder
-from tidemark.llm.common import cut, partitions, prepare
+from tidemark.llm.common import cut, partitions, prepare, tidy
 
 OPEN_BINS = 256
-#: Pieces that a packer of the first round gets at least, where there are so many.
-ITEMS = 1 << 12
+#: Pieces that a packer of the first round gets at least, where there are so many, and about at most.
+ITEMS, MOST_ITEMS = 1 << 12, 1 << 20
 #: Unfinished sequences that one task of the second round packs.
 SECOND_ROUND = 1 << 13
 
@@ -112,7 +112,9 @@ def pack_documents(docs: DataFrame, path: str, capacity: int = 1024, end_id: int
     made = cut(made.withColumn("key", F.monotonically_increasing_id()))
     whole = made.filter(F.col("length") == capacity).withColumn("sequence_id", -1 - F.col("key")).withColumn("offset", F.lit(0).cast("long"))
     rest = made.filter(F.col("length") < capacity)
-    n = max(1, min(partitions(spark), rest.count() // ITEMS))
+    with tidy(spark):
+        pieces_left = rest.count()
+    n = max(1, min(partitions(spark), pieces_left // ITEMS), -(-pieces_left // MOST_ITEMS))
     dealt = rest.select("key", F.col("length").alias("size")).repartition(n, F.xxhash64("key")).sortWithinPartitions(F.xxhash64("key"))
     first = cut(_packed(dealt, capacity, open_bins, 0))
     # What is left unfinished: open_bins sequences for each task at most.

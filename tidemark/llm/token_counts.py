@@ -26,6 +26,8 @@ CHUNK = 1 << 15
 OVERLAP = 512
 #: Code points before a chunk's end at which its pieces are not trusted; an added token must be shorter.
 GUARD = 64
+#: Chunks of a text that leave a task together.
+CHUNKS = 64
 
 
 def count_tokens(docs: DataFrame, path: str, limit: int = 512, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
@@ -67,30 +69,29 @@ def _spliced(rows: DataFrame, path: str, chunk: int, overlap: int) -> DataFrame:
 
 def _chunks(rows: DataFrame, path: str, chunk: int, overlap: int, id_type: str) -> DataFrame:
     """A row for each chunk: piece starts in its head and tail, with the tokens before each and in all."""
-    cutting = rows.select(
-        "rid", "doc_id", "n_bytes", F.length("text").alias("n_chars"), "text",
-        F.explode(F.sequence(F.lit(0), ((F.length("text") - 1) / chunk).cast("int"))).alias("chunk"),
-    )
-    cutting = cutting.select("rid", "doc_id", "n_bytes", "chunk", (F.col("chunk") * F.lit(chunk).cast("long") + chunk + overlap >= F.col("n_chars")).alias("last"), F.substring("text", F.col("chunk") * chunk + 1, F.lit(chunk + overlap)).alias("text"))
+    kept = ["rid", "doc_id", "n_bytes"]
 
     def encode(batches):
         enc = encoder(path)
         for batch in batches:
-            out = {k: [] for k in ("total", "head", "head_before", "tail", "tail_before")}
-            for text in batch.column("text").to_pylist():
-                start, before, total = piece_counts(enc, text)
-                head = start < overlap
-                tail = (start >= chunk) & (start < len(text) - GUARD)
-                out["total"].append(total)
-                out["head"].append(start[head].tolist())
-                out["head_before"].append(before[head].tolist())
-                out["tail"].append((start[tail] - chunk).tolist())
-                out["tail_before"].append(before[tail].tolist())
-            arrays = [batch.column(c) for c in ("rid", "doc_id", "n_bytes", "chunk", "last")]
-            arrays += [pa.array(v, pa.int64() if k == "total" else pa.list_(pa.int64())) for k, v in out.items()]
-            yield pa.RecordBatch.from_arrays(arrays, ["rid", "doc_id", "n_bytes", "chunk", "last", *out])
-
-    return cutting.mapInArrow(encode, f"rid long, doc_id {id_type}, n_bytes long, chunk int, last boolean, total long, head array<long>, head_before array<long>, tail array<long>, tail_before array<long>")
+            for row, text in enumerate(batch.column("text")):
+                text = text.as_py()
+                made = -(-len(text) // chunk)
+                for a in range(0, made, CHUNKS):  # a text's chunks leave in groups of a bounded size
+                    out = {k: [] for k in ("chunk", "last", "total", "head", "head_before", "tail", "tail_before")}
+                    for k in range(a, min(a + CHUNKS, made)):
+                        own = text[k * chunk : k * chunk + chunk + overlap]
+                        start, before, total = piece_counts(enc, own)
+                        head = start < overlap
+                        tail = (start >= chunk) & (start < len(own) - GUARD)
+                        found = (k, k * chunk + chunk + overlap >= len(text), total, start[head].tolist(), before[head].tolist(), (start[tail] - chunk).tolist(), before[tail].tolist())
+                        for name, value in zip(out, found, strict=True):
+                            out[name].append(value)
+                    types = [pa.int32(), pa.bool_(), pa.int64(), *[pa.list_(pa.int64())] * 4]
+                    same = pa.array([row] * len(out["chunk"]), pa.int64())
+                    yield pa.RecordBatch.from_arrays([*(batch.column(c).take(same) for c in kept), *(pa.array(v, t) for v, t in zip(out.values(), types, strict=True))], [*kept, *out])
+
+    return rows.select(*kept, "text").mapInArrow(encode, f"rid long, doc_id {id_type}, n_bytes long, chunk int, last boolean, total long, head array<long>, head_before array<long>, tail array<long>, tail_before array<long>")
 
 
 def _splice(chunks: DataFrame) -> DataFrame:
@@ -129,8 +130,7 @@ def piece_counts(enc, text: str) -> tuple[np.ndarray, np.ndarray, int]:
     plain = ~special[begin]
     count = np.ones(len(begin), np.int64)
     if plain.any():
-        numbers = enc.numbers(codes, begin[plain], stop[plain])  # may replace the memory, so it comes first
-        count[plain] = enc.lengths[numbers]
+        count[plain] = enc.counts(codes, begin[plain], stop[plain])
     total = np.cumsum(count)
     return begin, total - count, int(total[-1]) if len(total) else 0
 
