@@ -1,8 +1,10 @@
 """Language identification by multinomial naive Bayes over hashed character n-grams.
 
-A bounded, documented sample of the labelled rows is counted into (language, bucket) cells, the cells become a matrix
-of log probabilities, and the matrix is broadcast. Scoring turns a batch of texts into one sparse matrix of n-gram
-buckets (indices, and where each text begins) and multiplies it with the broadcast one in numpy.
+A bounded, documented sample of the labelled rows of each language is counted into (language, bucket) cells, the cells
+become a matrix of log probabilities, and the matrix is broadcast. Scoring turns a batch of texts into one sparse matrix
+of n-gram buckets (indices, and where each text begins) and multiplies it with the broadcast one in numpy; a long text
+is summed up in parts. Every language is learned, however rare; priors are of all labelled rows. The matrix has at most
+MATRIX cells, so that very many languages get fewer buckets each.
 
 Defined results: texts that are null or have no letter are ``und`` with score 0, and so is all where nothing could be
 learned; rows with a null doc_id are scored, never learned from, and not held out; repeated rows are scored each for
@@ -11,7 +13,6 @@ itself; columns besides doc_id, text and lang are ignored; an empty table gives
 
 from __future__ import annotations
 
-import math
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -22,11 +23,11 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import partitions, prepare, text_steps
 
-BITS = 15
 ORDERS = 3
-#: Rows that the model is fitted on at most, and languages that it learns (the commonest of the sample).
-SAMPLE_ROWS = 20_000
-MAX_LANGUAGES = 256
+#: Rows that the model is fitted on, about at most, and how many of each language it may have at least.
+SAMPLE_ROWS, LEAST_ROWS = 20_000, 100
+#: Cells of the matrix at most, and the logarithm of buckets at most.
+MATRIX, BITS = 1 << 22, 15
 _MULTIPLIERS = (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D)
 
 
@@ -43,34 +44,59 @@ def _tables() -> tuple[np.ndarray, np.ndarray]:
     return letter, low
 
 
-def buckets(column: pa.Array, step: int):
-    """Yields (first row, end row, bucket of each n-gram of each order, offsets of texts, letters in each text).
+def _parts(raw: np.ndarray, off: np.ndarray, step: int):
+    """Code points of texts laid end to end with their offsets; one longer text in parts that overlap by ORDERS - 1.
 
-    A row of buckets belongs to an order; an n-gram that is all blanks or leaves its text has the bucket 1 << BITS.
+    Yields (code points, offsets, code points of the last text from which n-grams start).
     """
-    letter, low = _tables()
-    for first, end, raw, off in text_steps(column, step):
+    if len(off) > 2 or len(raw) <= 2 * step:
         codes = np.frombuffer(raw.tobytes().decode().encode("utf-32-le"), np.uint32)
         lead = np.zeros(len(raw) + 1, np.int64)
         np.cumsum((raw & 0xC0) != 0x80, out=lead[1:])
-        off = lead[off]
-        n = len(codes)
-        is_letter = letter[codes]
-        letters = np.zeros(n + 1, np.int64)
-        np.cumsum(is_letter, out=letters[1:])
-        base = low[codes]
-        rest = np.repeat(off[1:], np.diff(off)) - np.arange(n)  # code points from here to the text's end
-        out = np.full((ORDERS, n), 1 << BITS, np.int32)
-        for k in range(1, ORDERS + 1):
-            if n < k:
-                break
-            h = np.full(n - k + 1, 0x27D4EB2F * k & 0xFFFFFFFF, np.uint32)
-            for j in range(k):
-                h = (h ^ base[j : n - k + 1 + j]) * np.uint32(_MULTIPLIERS[j])
-                h ^= h >> np.uint32(15)
-            good = (rest[: n - k + 1] >= k) & (letters[k:] > letters[: n - k + 1])
-            out[k - 1, : n - k + 1] = np.where(good, (h >> np.uint32(32 - BITS)).astype(np.int32), 1 << BITS)
-        yield first, end, out, off, letters[off[1:]] - letters[off[:-1]]
+        yield codes, lead[off], len(codes)
+        return
+    at = 0
+    while at < len(raw):
+        stop = min(at + step, len(raw))
+        while stop < len(raw) and raw[stop] & 0xC0 == 0x80:
+            stop += 1
+        more = stop
+        for _ in range(ORDERS - 1):  # characters that n-grams from before stop reach into
+            more += more < len(raw)
+            while more < len(raw) and raw[more] & 0xC0 == 0x80:
+                more += 1
+        codes = np.frombuffer(raw[at:more].tobytes().decode().encode("utf-32-le"), np.uint32)
+        yield codes, np.array([0, len(codes)]), int(((raw[at:stop] & 0xC0) != 0x80).sum())
+        at = stop
+
+
+def buckets(column: pa.Array, step: int, bits: int = BITS):
+    """Yields (first row, end row, bucket of each n-gram of each order, offsets of texts, letters in each text).
+
+    A row of buckets belongs to an order; an n-gram that is all blanks or leaves its text has the bucket 1 << bits. A
+    text longer than step comes in several parts, to be summed up.
+    """
+    letter, low = _tables()
+    for first, end, raw, whole in text_steps(column, step):
+        for codes, off, own in _parts(raw, whole, step):
+            n = len(codes)
+            is_letter = letter[codes]
+            letters = np.zeros(n + 1, np.int64)
+            np.cumsum(is_letter, out=letters[1:])
+            base = low[codes]
+            rest = np.repeat(off[1:], np.diff(off)) - np.arange(n)  # code points from here to the text's end
+            out = np.full((ORDERS, n), 1 << bits, np.int32)
+            for k in range(1, ORDERS + 1):
+                if n < k:
+                    break
+                h = np.full(n - k + 1, 0x27D4EB2F * k & 0xFFFFFFFF, np.uint32)
+                for j in range(k):
+                    h = (h ^ base[j : n - k + 1 + j]) * np.uint32(_MULTIPLIERS[j])
+                    h ^= h >> np.uint32(15)
+                good = (rest[: n - k + 1] >= k) & (letters[k:] > letters[: n - k + 1])
+                out[k - 1, : n - k + 1] = np.where(good, (h >> np.uint32(32 - bits)).astype(np.int32), 1 << bits)
+            off[-1] = own
+            yield first, end, out[:, :own], off, letters[off[1:]] - letters[off[:-1]]
 
 
 @dataclass
@@ -79,76 +105,81 @@ class Model:
     #: (buckets + 1) x languages; the last row is zero, for n-grams that don't count.
     weights: np.ndarray
     prior: np.ndarray
+    bits: int
 
 
-def fit(rows: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
-    """Learn from rows (doc_id, text, lang), a sample of them by hash if there are more than sample_rows."""
+def fit(rows: DataFrame, sample_rows: int = SAMPLE_ROWS, least_rows: int = LEAST_ROWS, matrix: int = MATRIX) -> Model:
+    """Learn from rows (doc_id, text, lang): of each language a sample by hash, of sample_rows in all or least_rows each."""
     spark = rows.sparkSession
     prepare(spark)
     rows = rows.filter(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang")
-    n = rows.select("lang").count()
-    if n > sample_rows:
-        scale = 1 << 30
-        rows = rows.filter(F.pmod(F.xxhash64("doc_id"), F.lit(scale)) < math.floor(scale * sample_rows / n))
+    number = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row for each language
+    languages = sorted(number)
+    if not languages:
+        return Model([], np.zeros((2, 0)), np.zeros(0), 0)
+    bits = max(1, min(BITS, (matrix // len(languages)).bit_length() - 1))
+    each, scale = max(least_rows, sample_rows // len(languages)), 1 << 30
+    # Languages with few rows leave their share to the others.
+    spare = max(0, sample_rows - sum(min(each, n) for n in number.values()))
+    over = sum(n - each for n in number.values() if n > each)
+    take = {x: min(n, each + (spare * (n - each) // over if over and n > each else 0)) for x, n in number.items()}
+    shares = spark.createDataFrame([(x, scale * take[x] // number[x]) for x in languages], "lang string, share long")
+    place = F.pmod(F.xxhash64("doc_id", "text"), F.lit(scale))
     # The sample is bounded, and so are its tasks and what they count.
-    rows = rows.select("text", "lang").repartition(min(16, partitions(spark)))
+    sample = rows.join(shares, "lang").filter(place < F.col("share")).select("text", "lang").repartition(min(16, partitions(spark)))
 
     def count(batches):
         seen: dict[str, np.ndarray] = {}
         for batch in batches:
             langs = batch.column("lang").to_pylist()
-            for first, end, grams, off, _ in buckets(batch.column("text"), 1 << 18):
+            for first, end, grams, off, _ in buckets(batch.column("text"), 1 << 18, bits):
                 for k in range(first, end):
-                    own = seen.setdefault(langs[k], np.zeros((1 << BITS) + 2, np.int64))
-                    own[:-1] += np.bincount(grams[:, off[k - first] : off[k - first + 1]].ravel(), minlength=(1 << BITS) + 1)
-                    own[-1] += 1
+                    own = seen.setdefault(langs[k], np.zeros((1 << bits) + 1, np.int64))
+                    own += np.bincount(grams[:, off[k - first] : off[k - first + 1]].ravel(), minlength=(1 << bits) + 1)
         for lang, own in seen.items():
-            own[1 << BITS] = 0
-            at = np.flatnonzero(own)
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at)), pa.array(at), pa.array(own[at])], ["lang", "bucket", "n"])
-
-    cells = rows.mapInArrow(count, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
-    got = cells.toArrow()
-    lang, bucket, number = np.array(got["lang"].to_pylist(), object), got["bucket"].to_numpy(), got["n"].to_numpy()
-    docs = {x: int(c) for x, c, b in zip(lang, number, bucket, strict=True) if b == (1 << BITS) + 1}
-    languages = sorted(sorted(docs, key=lambda x: (-docs[x], x))[:MAX_LANGUAGES])
-    counts = np.full((1 << BITS, len(languages)), 0.5)
-    for k, x in enumerate(languages):
-        own = (lang == x) & (bucket < 1 << BITS)
-        counts[bucket[own], k] += number[own]
-    weights = np.zeros(((1 << BITS) + 1, len(languages)))
-    weights[:-1] = np.log(counts / counts.sum(0)) if languages else 0
-    prior = np.log(np.array([docs[x] for x in languages], float) / sum(docs.values())) if languages else np.zeros(0)
-    return Model(languages, weights, prior)
+            at = np.flatnonzero(own[:-1])
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at), pa.array(own[at])], ["lang", "bucket", "n"])
+
+    cells = sample.mapInArrow(count, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    got = cells.toArrow()  # MATRIX cells at most
+    lang, bucket, times = np.array(got["lang"].to_pylist(), object), got["bucket"].to_numpy(), got["n"].to_numpy()
+    column = {x: k for k, x in enumerate(languages)}
+    counts = np.full((1 << bits, len(languages)), 0.5)
+    if len(lang):
+        counts[bucket, [column[x] for x in lang]] += times
+    weights = np.zeros(((1 << bits) + 1, len(languages)))
+    weights[:-1] = np.log(counts / counts.sum(0))
+    return Model(languages, weights, np.log(np.array([number[x] for x in languages], float) / sum(number.values())), bits)
 
 
 def predict(rows: DataFrame, model: Model, *kept: str) -> DataFrame:
     """kept columns of rows (text), lang_pred, score."""
     spark = rows.sparkSession
     prepare(spark)
-    shared = spark.sparkContext.broadcast((model.languages, model.weights, model.prior))
-    step = max(1 << 14, (1 << 20) // max(4, len(model.languages)))
+    shared = spark.sparkContext.broadcast((model.languages, model.weights, model.prior, model.bits))
+    step = max(1 << 12, (1 << 20) // max(4, len(model.languages)))
 
     def score(batches):
-        languages, weights, prior = shared.value
+        languages, weights, prior, bits = shared.value
         names = [*languages, "und"]
         for batch in batches:
-            best = np.full(batch.num_rows, len(languages), np.int64)
-            sure = np.zeros(batch.num_rows)
-            for first, end, grams, off, letters in buckets(batch.column("text"), step):
+            total, lettered = np.zeros((batch.num_rows, len(languages))), np.zeros(batch.num_rows, np.int64)
+            for first, end, grams, off, letters in buckets(batch.column("text"), step, bits) if languages else ():
                 full = np.flatnonzero(letters)
-                if not languages or not len(full):
+                if not len(full):
                     continue
                 each = weights[grams[0]]
                 for k in range(1, ORDERS):
                     each += weights[grams[k]]
-                total = np.add.reduceat(each, off[full], axis=0)
                 # Texts without letters between two others add only zero rows.
-                total += prior
-                total -= total.max(1, keepdims=True)
-                odds = np.exp(total)
-                best[first + full] = odds.argmax(1)
-                sure[first + full] = 1 / odds.sum(1)
+                total[first + full] += np.add.reduceat(each, off[full], axis=0)
+                lettered[first:end] += letters
+            best, sure = np.full(batch.num_rows, len(languages), np.int64), np.zeros(batch.num_rows)
+            full = np.flatnonzero(lettered)
+            if len(full):
+                odds = total[full] + prior
+                odds = np.exp(odds - odds.max(1, keepdims=True))
+                best[full], sure[full] = odds.argmax(1), 1 / odds.sum(1)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array([names[k] for k in best], pa.string()), pa.array(sure)], [*kept, "lang_pred", "score"])
 
     types = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in kept)
