@@ -14,6 +14,9 @@ columns are ignored, whatever their names; an empty table gives no rows.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -43,6 +46,11 @@ def _hint(kind: str):
         return text.contains("AKIA")
     if kind == "endpoint":
         return text.contains("://")
+    if kind == "identifier":
+        named = [low.contains(x) for x in ("key", "client", "user", "login", "account")]
+        return reduce(or_, [*named, *(text.contains(x) for x in ("ASIA", "AGPA", "AIDA", "AROA"))])
+    if kind == "opaque":
+        return text.rlike("[A-Za-z0-9+/_-]{32}")
     return F.lit(True)
 
 
