@@ -4,6 +4,9 @@ import hashlib
 import re
 import zlib
 
+import numpy as np
+import pyarrow as pa
+
 from tidemark.llm import pii
 from tidemark.llm.language_id import fit, op3_language_id, predict
 from tidemark.llm.line_dedup import MIN_WORDS, op6_line_dedup, remove_spans, repeated_units
@@ -30,6 +33,69 @@ def test_languages_of_odd_rows(spark):
     assert predict(docs.filter("false"), fit(docs), "doc_id").count() == 0
 
 
+def naive_bayes(rows, texts, bits=15):
+    """Languages and scores by plain multinomial naive Bayes over the operator's hash of n-grams."""
+    import math
+
+    def grams(text):
+        chars = [(c.lower() if len(c.lower()) == 1 else c) if c.isalpha() else " " for c in text or ""]
+        for k in (1, 2, 3):
+            for at in range(len(chars) - k + 1):
+                own = chars[at : at + k]
+                if any(c != " " for c in own):
+                    h = 0x27D4EB2F * k & 0xFFFFFFFF
+                    for c, m in zip(own, (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D), strict=False):
+                        h = (h ^ ord(c)) * m & 0xFFFFFFFF
+                        h ^= h >> 15
+                    yield h >> (32 - bits)
+
+    count, docs = {}, {}
+    for text, lang in rows:
+        docs[lang] = docs.get(lang, 0) + 1
+        own = count.setdefault(lang, {})
+        for g in grams(text):
+            own[g] = own.get(g, 0) + 1
+    total = {x: sum(own.values()) + 0.5 * (1 << bits) for x, own in count.items()}
+    for text in texts:
+        found = list(grams(text))
+        if not found:
+            yield "und", 0.0
+            continue
+        odds = {x: math.log(docs[x] / sum(docs.values())) + sum(math.log((count[x].get(g, 0) + 0.5) / total[x]) for g in found) for x in count}
+        best = max(sorted(odds), key=odds.get)
+        yield best, 1 / sum(math.exp(v - odds[best]) for v in odds.values())
+
+
+def test_languages_match_plain_naive_bayes(spark, tiny):
+    docs = spark.read.parquet(f"{tiny}/documents.parquet").limit(60).collect()  # a fixture of 60 texts
+    learned, judged = [(r.text, r.lang) for r in docs[:40] if r.lang and r.text is not None], [*docs[40:]]
+    frame = spark.createDataFrame([(k, t, x) for k, (t, x) in enumerate(learned)], "doc_id long, text string, lang string")
+    texts = [r.text for r in judged] + ["a", "É 1", "...", "der the le el"]
+    got = {r.doc_id: (r.lang_pred, r.score) for r in predict(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), fit(frame), "doc_id").collect()}
+    for k, (lang, score) in enumerate(naive_bayes(learned, texts)):
+        assert got[k][0] == lang and abs(got[k][1] - score) < 1e-9
+
+
+def test_every_language_is_learned(spark):
+    rows = [(k, chr(0x4E00 + 40 * (k % 300)) * 8, f"l{k % 300:03}") for k in range(900)] + [(1000 + k, "common words here", "en") for k in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = fit(docs, sample_rows=1000, least_rows=2, matrix=1 << 20)
+    assert len(model.languages) == 301 and model.weights.size <= 1 << 20
+    got = predict(docs, model, "doc_id", "lang").collect()
+    assert sum(r.lang_pred == r.lang for r in got) >= 0.95 * len(got)
+
+
+def test_long_texts_are_summed_up_in_parts(spark):
+    from tidemark.llm import language_id
+
+    text = "der hund é 1 und die katze. " * 3000
+    whole = pa.array([text, "kurz"], pa.large_string())
+    size = (1 << 15) + 1
+    (a,) = [np.bincount(g[:, off[0] : off[1]].ravel(), minlength=size) for _, _, g, off, _ in language_id.buckets(whole, 1 << 22)]
+    parts = [(np.bincount(g[:, off[0] : off[1]].ravel(), minlength=size), letters[0]) for first, _, g, off, letters in language_id.buckets(whole, 1000) if first == 0]
+    assert len(parts) > 50 and (sum(p for p, _ in parts)[:-1] == a[:-1]).all() and sum(x for _, x in parts) == sum(c.isalpha() for c in text)
+
+
 def plain(text):
     t, out = text or "", []
     out += [("email", m) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
@@ -69,6 +135,14 @@ def test_personal_data_of_odd_texts(spark):
     assert pii.redact("+1 499 5556503 1111", [(0, 3, 14), (1, 2, 19)]) == "<PHONE>"
 
 
+def test_long_candidates(spark):
+    rows = [(k, f"write to {'x' * 200}{k} (at) example (dot) org or phone 0049 30 1 2 3 4 5 6 7 8 or 00{'1' * 400}") for k in range(40)] + [(100, "x" * 200_000), (101, "00" + "1 " * 50_000)]
+    got = {r.doc_id: r.spans for r in pii.find_personal_data(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id").collect()}
+    for k in range(40):
+        assert [rows[k][1][s.start : s.end] for s in got[k] if s.kind == 0] == [f"{'x' * 200}{k} (at) example (dot) org"]
+    assert not got[100]
+
+
 def test_label_model_prefers_agreeing_labelers():
     good, bad = pii.code((1, 1, 1, 1, 1)), pii.code((-1, -1, 0, -1, -1))
     p = pii.label_model({(0, good): 90, (0, bad): 60, (0, pii.code((1, 1, 0, 0, 1))): 40})
@@ -102,10 +176,42 @@ def brute(docs):
     return out
 
 
+def all_units(text):
+    """{(start, end, words)} of whole lines, and of the shortest runs of sentences from and up to each, of MIN_WORDS words."""
+    parts, lines = [], []
+    for m in re.finditer(r"[^\n]+", text or ""):
+        own = [(a + m.start(), e + m.start(), key) for a, e, key in units(m[0])]
+        if own:
+            lines.append((len(parts), len(parts) + len(own)))
+            parts += own
+    runs = set(lines)
+    for k in range(len(parts)):
+        for step in (1, -1):
+            n, at = 0, k
+            while 0 <= at < len(parts) and n < MIN_WORDS:
+                n += len(parts[at][2])
+                at += step
+            if n >= MIN_WORDS:
+                runs.add((k, at) if step == 1 else (at + 1, k + 1))
+    out = {(parts[a][0], parts[b - 1][1], sum((p[2] for p in parts[a:b]), ())) for a, b in runs}
+    return {x for x in out if len(x[2]) >= MIN_WORDS}
+
+
+def brute_units(docs):
+    """All rows of the operator: of equal units the first stays, and what overlaps it in its own text."""
+    found = sorted((d, a, e, key) for d, t in docs for a, e, key in all_units(t))
+    first, out = {}, set()
+    for d, a, e, key in found:
+        k = first.setdefault(key, (d, a, e))
+        if d != k[0] or a >= k[2]:
+            out.add((d, a, e, len(key), k[0], k[1]))
+    return out
+
+
 def test_lines_match_brute_force(spark, tiny):
     docs = sorted((r.doc_id, r.text) for r in spark.read.parquet(f"{tiny}/documents.parquet").collect())
     got = [tuple(r) for r in op6_line_dedup(spark, tiny).collect()]
-    assert set(got) == brute(docs) and len(got) == len(set(got)) > 0
+    assert set(got) == brute_units(docs) and len(got) == len(set(got)) > 0
 
 
 def test_lines_of_odd_rows(spark):

@@ -84,7 +84,8 @@ def test_the_multi_index_finds_all_within_its_radius():
         bits[rng.choice(128, int(rng.integers(0, RADIUS + 1)), replace=False)] ^= 1
         own = np.packbits(bits)[None]
         far = np.bitwise_count(index.prints ^ own).sum(1)
-        assert {i for _, i in index.candidates(own)} == set(np.flatnonzero(far <= RADIUS).tolist())
+        assert set(index.candidates(own, 30)[1].tolist()) == set(np.flatnonzero(far <= RADIUS).tolist())
+    assert not len(index.candidates(own, 31)[0])
 
 
 def test_pipeline_stage_by_stage(spark, tiny, tmp_path):
@@ -118,3 +119,57 @@ def test_pipeline_stage_by_stage(spark, tiny, tmp_path):
         assert {r.doc_id: r.text for r in out.collect()} == state and out.columns == docs.columns
         docs = out
     assert corpus_pipeline.run(spark, tiny).count() == out.count()
+
+
+def test_anchors_of_items_that_share_a_prompt(spark):
+    prompt = " ".join(f"prompt{j}" for j in range(20))
+    items = [(k, f"{prompt} " + " ".join(f"q{k}w{j}" for j in range(20))) for k in range(300)]
+    index = Index(items)
+    shared = find_leaks(spark.createDataFrame([(1, f"x {prompt} y " * 50), (2, "a " + items[7][1] + " b")], "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert [(r.doc_id, r.item_id) for r in shared] == [(2, 7)]
+    assert len(index.shingle) == len(set(index.shingle.tolist()))  # no anchor is one of the prompt's shingles
+    # A window meets few items, whatever their number.
+    rng = np.random.default_rng(1)
+    sizes = Index([(k, " ".join(f"i{k}w{j}" for j in range(15 + k % 45))) for k in range(3000)])
+    prints = rng.integers(0, 256, (200, 16), dtype=np.uint8)
+    own = int(np.searchsorted(sizes.sizes, 30))
+    key = (own * 16 + np.arange(16)) * 256 + prints
+    met = [len({int(p) for x in row for p in sizes.places[np.searchsorted(sizes.keys, x) : np.searchsorted(sizes.keys, x, "right")]}) for row in key]
+    assert np.mean(met) < 0.015 * 3000
+
+
+def test_a_benchmark_in_several_indexes(spark, monkeypatch):
+    from tidemark.llm import decontamination
+
+    monkeypatch.setattr(decontamination, "BLOCK_BYTES", 400)
+    items = [(k, " ".join(f"b{k}w{j}" for j in range(12))) for k in range(30)]
+    docs = spark.createDataFrame([(k, f"x {items[k][1]} y" if k % 3 else "clean") for k in range(30)], "doc_id long, text string")
+    b = spark.createDataFrame(items, "item_id long, text string")
+    assert sorted((r.doc_id, r.item_id) for r in find_leaks(docs, b).collect()) == [(k, k) for k in range(30) if k % 3]
+    assert sorted(r.doc_id for r in without_leaks(docs, b).collect()) == list(range(0, 30, 3))
+
+
+LONG = " ".join(f"word{j}" for j in range(40))
+CLASH = ["host", "lines", "n_words", "kept", "base_failed", "spans", "candidates", "th", "cls", "rep", "k0", "a", "row", "n", "c1", "_rid", "sid", "content"]
+
+
+def test_stages_keep_rows_and_columns(spark, tiny):
+    """Extra columns of any name, repeated rows, a doc_id on unlike texts, nulls, empty and long texts, an empty table."""
+    other = " ".join(f"other{j}" for j in range(50))
+    rows = [(1, LONG, "s"), (1, other, "s"), (2, f"{LONG} more", None), (3, None, "s"), (4, "", "s"), (None, LONG, "s"), (5, LONG, "s"), (5, LONG, "s"), (6, f"{other[::-1]} jane@example.com", "t"), (7, " ".join(f"z{j}" for j in range(200_000)), "t")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").selectExpr("*", "cast(0 AS int) AS n_chars", *(f"'mine' AS `{c}`" for c in CLASH))
+    want = {
+        "quality_rules": {(1, LONG), (1, other), (2, f"{LONG} more"), (None, LONG), (5, LONG), (6, rows[8][1]), (7, rows[9][1])},
+        "near_duplicates": {(1, LONG), (1, other), (3, None), (4, ""), (None, LONG), (6, rows[8][1]), (7, rows[9][1])},
+        "benchmark_leaks": {(d, t) for d, t, _ in rows},
+        "personal_data": {(d, t) if d != 6 else (6, f"{other[::-1]} <EMAIL>") for d, t, _ in rows},
+    }
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, tiny)
+        assert out.columns == docs.columns and out.dtypes == docs.dtypes
+        got = out.collect()
+        assert {(r.doc_id, r.text) for r in got} == want[name] and all(r[c] == "mine" for r in got for c in CLASH)
+        assert len(got) == {"quality_rules": 8, "near_duplicates": 7}.get(name, len(rows))
+        assert stage(spark, docs.filter("false"), tiny).count() == 0
+    packed = corpus_pipeline.packing(spark, docs, tiny)
+    assert packed.filter("piece = 0").count() == len(rows) and corpus_pipeline.packing(spark, docs.filter("false"), tiny).count() == 0
