@@ -4,10 +4,11 @@ import random
 
 import pytest
 
-from tidemark.operators import folds, intervals, summaries, versions
+from tidemark.operators import folds, frontiers, intervals, summaries, versions
+from tidemark.operators.merge import fold
 from tidemark.operators.planner import Planner, ranked
 from tidemark.sources.events import numbered
-from tidemark.streaming.sweep import LOG_SCHEMA, fold, fold_stream
+from tidemark.streaming.sweep import LOG_SCHEMA, fold_stream
 
 LOG = "lsn long, k long, shard long, epoch long, op string, end_epoch long, len long"
 
@@ -132,3 +133,36 @@ def test_folds(spark):
 def test_numbered(spark):
     rows = spark.createDataFrame([(x,) for x in (5, 7, 100, 130, 131, 900)], "lsn long")
     assert sorted(map(tuple, numbered(rows, "n", block=64).collect())) == [(5, 1), (7, 2), (100, 3), (130, 4), (131, 5), (900, 6)]
+
+
+def test_overlaps_across_blocks(spark):
+    rng = random.Random(5)
+    make = lambda n: [(k, a, a + rng.randrange(200)) for k, a in enumerate(rng.randrange(2000) for _ in range(n))]
+    a, b = make(80), make(80)
+    frame = lambda rows: spark.createDataFrame(rows, "id long, first long, last long")
+    got = sorted(map(tuple, intervals.overlapping_pairs(frame(a), frame(b), 64).collect()))
+    assert got == sorted((i, j) for i, x, y in a for j, u, v in b if x <= v and u <= y)
+
+
+def test_classify_rejects_partial_overlap_of_either_kind(spark):
+    make = lambda rows: spark.createDataFrame(rows, "segment_id long, start long, end long")
+    records = make([(1, 0, 10), (1, 10, 20)])
+    for retired, expired in (([(1, 5, 20)], []), ([], [(1, 5, 20)]), ([(1, 0, 10)], [(1, 12, 14)])):
+        with pytest.raises(Exception, match="part of a record"):
+            intervals.classify(records, make(retired), make(expired)).collect()
+
+
+def test_manifest_edits(spark):
+    make = lambda rows: spark.createDataFrame(rows, "file_id long, level string")
+    base = make([(1, "base"), (2, "patch")])
+    assert sorted(map(tuple, frontiers.edit(base, make([(2, "patch")]), make([(3, "base")])).collect())) == [(1, "base"), (3, "base")]
+    with pytest.raises(Exception, match="isn't in the manifest"):
+        frontiers.edit(base, make([(9, "patch")]), make([])).collect()
+
+
+def test_bloom_denies_most_others(spark):
+    keys = spark.range(0, 2000).toDF("k")
+    bits = frontiers.bloom_bits(keys, "k")
+    assert frontiers.bloom_probe(keys, bits, "k").filter("may_contain").count() == 2000
+    assert frontiers.bloom_probe(spark.range(10_000, 12_000).toDF("k"), bits, "k").filter("may_contain").count() < 100
+    assert frontiers.bloom_probe(keys.limit(3), frontiers.bloom_bits(keys.limit(0), "k"), "k").filter("may_contain").count() == 0

@@ -46,3 +46,14 @@ def classify(records: DataFrame, retired: DataFrame, expired: DataFrame, key: st
         out = tagged.withColumn(f"_{name}", state).drop("_range", "_reach", "_next")
     state = F.when(F.col("_retired"), "retired").when(F.col("_expired"), "expired").otherwise("live")
     return out.withColumn("state", state).drop("_retired", "_expired")
+
+
+def overlapping_pairs(a: DataFrame, b: DataFrame, block: int) -> DataFrame:
+    """a (id, first, last) and b (id, first, last): a_id, b_id of closed ranges that share a value.
+
+    Each range is entered in every block that it touches, blocks are joined by equality, and a pair counts in the first
+    block that both touch, so that none is met twice and nothing has to be made distinct.
+    """
+    entered = lambda df, x: df.select(F.col("id").alias(f"{x}_id"), F.col("first").alias(f"{x}_first"), F.col("last").alias(f"{x}_last"), F.explode(F.sequence(F.expr(f"first div {block}"), F.expr(f"last div {block}"))).alias("block"))
+    met = entered(a, "a").join(entered(b, "b"), "block").filter("a_first <= b_last AND b_first <= a_last")
+    return met.filter(F.col("block") == F.expr(f"greatest(a_first, b_first) div {block}")).select("a_id", "b_id")

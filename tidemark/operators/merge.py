@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -59,6 +60,37 @@ def replace_latest(key: str, order: str, value: str) -> MergeOperator:
     return MergeOperator(merge, lambda rows: rows[-1:])
 
 
+def blob_merge() -> MergeOperator:
+    """The state of a blob: live versions by shard, as JSON, after a fold of its mutations; what they end is retired."""
+
+    def merge(k: object, base: dict | None, rows: list[dict]) -> tuple[dict | None, list[dict]]:
+        state = {"live": json.loads(base["live"]), "life": None} if base else {}
+        before = {v[0] for v in state.get("live", {}).values()}
+        now = fold(state, [(int(r["lsn"]), int(r["shard"]), int(r["epoch"]), r["op"], int(r["end_epoch"])) for r in rows])
+        put = before | {int(r["lsn"]) for r in rows if r["op"] == "put"}
+        gone = sorted(put - {v[0] for v in now["live"].values()})
+        return {"k": k, "live": json.dumps(now["live"])}, [{"k": k, "lsn": x} for x in gone]
+
+    return MergeOperator(merge)
+
+
+def fold(state: dict, rows: list[tuple]) -> dict:
+    """Apply mutations (lsn, shard, epoch, op, end_epoch) of one key, in order, to its state."""
+    live, life = {int(s): tuple(v) for s, v in state.get("live", {}).items()}, state.get("life")
+    for lsn, shard, epoch, op, end_epoch in sorted(rows):
+        if op == "put":
+            live[shard] = (lsn, epoch)
+        elif op == "tomb":
+            live.pop(shard, None)
+        elif op == "del":
+            live, life = {}, None
+        else:
+            if life and life[1] <= epoch:  # it ended before this one came: what it held for is gone
+                live = {s: v for s, v in live.items() if life[0] <= v[0] and life[1] <= v[1]}
+            life = (lsn, end_epoch)
+    return {"live": live, "life": life}
+
+
 def latest(rows: DataFrame, key: list[str], order: str) -> DataFrame:
     """The same for the plain case, without Python: the row of the greatest order of each key."""
     rest = [c for c in rows.columns if c not in key]

@@ -70,7 +70,6 @@ query("fp07_lifetimes_accounted", "SELECT segment_id, unknown_bytes = 0 OR max_l
 query("fp08_useful_exact_bucket", f"SELECT segment_id, end_epoch, end_epoch - {PLAN_EPOCH} >= 1 AND bytes >= 500 AS useful FROM {{histogram}}", PLAN_EPOCH)
 query("fp09_useful_l0_bucket", f"SELECT segment_id, end_epoch, end_epoch - {PLAN_EPOCH} >= 2 AS useful FROM {{histogram}}", PLAN_EPOCH)
 query("fp10_stable_lifetimes", "SELECT s.segment_id, coalesce(max(e.extension_count), 0) <= 1 AS stable FROM {segments} s LEFT JOIN {extensions} e ON e.segment_id = s.segment_id GROUP BY s.segment_id")
-query("fp11_overlapping_files", "SELECT b.file_id AS base_file, p.file_id AS patch_file FROM {files} b JOIN {files} p ON b.level = 'base' AND p.level = 'patch' AND b.first_k // 64 = p.first_k // 64 AND b.first_k <= p.last_k AND p.first_k <= b.last_k")
 query("fp12_range_overlap", "SELECT segment_id, offset, len FROM {records} WHERE offset < 8000 AND offset + len > 4000")
 query("fp14_readable_segments", "SELECT segment_id FROM {segments} WHERE state <> 'Deleted'")
 query("fp15_owned_segments", "SELECT DISTINCT r.segment_id, r.shard FROM {records} r JOIN {segments} s ON s.segment_id = r.segment_id WHERE s.segment_id % 2 = 0 OR r.shard = s.segment_id % 3")
@@ -79,7 +78,6 @@ query("fp17_unsealed", "SELECT segment_id FROM {segments} WHERE state IN ('Open'
 query("fp19_shard_retirement", """
 SELECT v.k, v.shard, v.lsn, CASE WHEN s.state = 'Dropped' THEN CAST(12000 AS BIGINT) WHEN s.current_generation > 0 THEN CAST(20000 AS BIGINT) END AS retired_at
 FROM {versions} v LEFT JOIN {shards} s ON s.shard_id = v.shard WHERE v.retire_lsn IS NULL""")
-query("fp20_protected", "SELECT p.lsn, CAST(max(CASE WHEN c.lsn >= p.lsn THEN 1 ELSE 0 END) = 1 AS BOOLEAN) AS protects FROM {epoch_changes} p JOIN {epoch_changes} c ON c.epoch = p.epoch + 1 OR c.epoch = p.epoch - 1 GROUP BY p.lsn")
 
 # Joins.
 query("jn01_merge_cogroup", """
@@ -89,9 +87,6 @@ query("jn02_relocations_for_key", "SELECT v.k, v.shard, v.lsn, r.to_segment FROM
 query("jn03_healed_refs", "SELECT v.k, v.shard, v.lsn, coalesce(r.to_segment, v.segment_id) AS segment_id, coalesce(r.to_offset, v.offset) AS offset FROM {versions} v LEFT JOIN {relocations} r ON r.k = v.k AND r.shard = v.shard AND r.payload_lsn = v.lsn WHERE v.retire_lsn IS NULL")
 query("jn03_orphaned_copies", "SELECT r.k, r.shard, r.payload_lsn, r.to_segment FROM {relocations} r WHERE NOT EXISTS (SELECT 1 FROM {versions} v WHERE v.k = r.k AND v.shard = r.shard AND v.lsn = r.payload_lsn AND v.retire_lsn IS NULL AND (v.end_epoch IS NULL OR v.end_epoch > @NOW))")
 query("jn04_gc_snapshot", "SELECT segment_id, state, placement, claimed, total_bytes, live_bytes, retired_bytes, live_refs FROM {segment_summaries}")
-query("jn06_expiry", """
-WITH e AS (SELECT epoch, lsn FROM {epoch_changes}), ends AS (SELECT DISTINCT end_epoch FROM {mutations} WHERE op = 'life')
-SELECT ends.end_epoch, min(e.lsn) AS lsn FROM ends LEFT JOIN e ON e.epoch >= ends.end_epoch GROUP BY ends.end_epoch""")
 query("jn08_destinations", f"""
 SELECT v.lsn, CASE WHEN h.end_epoch IS NOT NULL AND h.bytes >= 500 THEN 'ExactEpoch' ELSE 'Spillover' END AS destination
 FROM {{versions}} v LEFT JOIN {{histogram}} h ON h.segment_id = v.segment_id AND h.end_epoch = v.end_epoch WHERE v.retire_lsn IS NULL""", PLAN_EPOCH)
@@ -102,11 +97,11 @@ SELECT v.k, v.shard, CASE WHEN s.segment_id % 5 = 0 THEN r.to_segment ELSE v.seg
 FROM {versions} v JOIN {segments} s ON s.segment_id = v.segment_id LEFT JOIN {relocations} r ON r.k = v.k AND r.shard = v.shard AND r.payload_lsn = v.lsn
 WHERE v.retire_lsn IS NULL AND (v.end_epoch IS NULL OR v.end_epoch > @NOW)""")
 query("jn12_contains_in_shards", "SELECT k FROM {versions} WHERE retire_lsn IS NULL AND shard IN (0, 1, 2) GROUP BY k HAVING count(DISTINCT shard) = 3")
-query("jn13_orphan_files", "SELECT f.file_id FROM {files} f WHERE NOT EXISTS (SELECT 1 FROM {segments} s WHERE s.segment_id = f.file_id)")
+query("jn13_orphan_files", "SELECT f.segment_id FROM {segment_files} f WHERE NOT EXISTS (SELECT 1 FROM {segments} s WHERE s.segment_id = f.segment_id)")
 query("jn14_live_relocations", "SELECT r.k, r.shard, r.payload_lsn FROM {relocations} r WHERE NOT EXISTS (SELECT 1 FROM {segments} s WHERE s.segment_id + 1000 = r.to_segment AND s.claimed)")
 query("jn15_redirected_garbage", "SELECT g.k, g.event_lsn, coalesce(r.to_segment, g.segment_id) AS segment_id FROM {garbage_events} g LEFT JOIN {relocations} r ON r.to_segment = g.segment_id + 1000 AND r.to_offset = g.offset")
 query("jn18_publish_revalidation", "SELECT r.to_segment, CAST(sum(CASE WHEN v.retire_lsn IS NULL AND (v.end_epoch IS NULL OR v.end_epoch > @NOW) THEN 1 ELSE 0 END) AS BIGINT) AS survivors, CAST(count(*) AS BIGINT) AS copies FROM {relocations} r JOIN {versions} v ON v.lsn = r.payload_lsn GROUP BY r.to_segment")
-query("jn19_claimed_flags", "SELECT s.segment_id, EXISTS (SELECT 1 FROM {segments} c WHERE c.segment_id = s.segment_id AND c.claimed) AS claimed FROM {segments} s")
+query("jn19_claimed_flags", "SELECT s.segment_id, EXISTS (SELECT 1 FROM {claims} c WHERE c.segment_id = s.segment_id) AS claimed FROM {segments} s")
 query("jn20_publish_fence", "SELECT r.k, r.payload_lsn, s.segment_id AS source, r.to_segment FROM {relocations} r JOIN {segments} s ON s.segment_id + 1000 = r.to_segment")
 query("jn21_shard_cleanup", "SELECT DISTINCT v.segment_id, v.shard FROM {versions} v JOIN {shards} s ON s.shard_id = v.shard JOIN {segments} g ON g.segment_id = v.segment_id WHERE s.state = 'Dropped' AND g.max_lsn <= 15000")
 query("jn22_shard_metadata_delete", "SELECT r.k, r.shard, r.payload_lsn FROM {relocations} r WHERE EXISTS (SELECT 1 FROM {shards} s WHERE s.shard_id = r.shard AND s.state = 'Dropped')")
@@ -146,7 +141,7 @@ query("ag34_overlay_fold", "SELECT segment_id, offset, len, CASE WHEN max(CASE W
 query("wn01_latest_version", "SELECT k, shard, lsn FROM (SELECT k, shard, lsn, row_number() OVER (PARTITION BY k, shard ORDER BY lsn DESC) AS rn FROM {mutations} WHERE op IN ('put', 'tomb')) WHERE rn = 1")
 query("wn02_retirements", "SELECT lsn, k, shard, retire_lsn FROM {versions} WHERE retire_lsn IS NOT NULL")
 query("wn04_lsn_validation", "SELECT CAST(count(*) AS BIGINT) AS violations FROM (SELECT lsn, lag(lsn) OVER (PARTITION BY k ORDER BY lsn) AS before FROM {mutations}) WHERE before >= lsn")
-query("wn05_event_conflicts", "SELECT segment_id, k, event_lsn, offset, CAST(count(*) AS BIGINT) AS n FROM (SELECT DISTINCT segment_id, k, event_lsn, offset, len, event FROM {garbage_events} WHERE event <> 'SetLifecycle') GROUP BY segment_id, k, event_lsn, offset HAVING count(*) > 1")
+query("wn05_event_conflicts", "SELECT segment_id, k, event_lsn, offset, CAST(count(*) AS BIGINT) AS n FROM (SELECT DISTINCT segment_id, k, event_lsn, offset, len, event FROM (SELECT segment_id, k, event_lsn, offset, len, event FROM {garbage_events} UNION ALL SELECT segment_id, k, event_lsn, offset, len + CASE WHEN event_lsn % 15 = 0 THEN 1 ELSE 0 END, event FROM {garbage_events} WHERE event_lsn % 3 = 0) restated WHERE event <> 'SetLifecycle') GROUP BY segment_id, k, event_lsn, offset HAVING count(*) > 1")
 query("wn11_relocation_tier", """
 WITH p AS (SELECT file_id, file_len, min(file_len) OVER () AS least_len FROM {files} WHERE level = 'patch'),
 t AS (SELECT file_id, file_len, row_number() OVER (ORDER BY file_id) AS rn, count(*) OVER () AS n FROM p WHERE file_len <= 4 * greatest(least_len, 1))
@@ -160,9 +155,7 @@ query("tk05_stalest_file", "SELECT file_id, max_lsn FROM {files} WHERE level = '
 query("tk06_garbage_order", "SELECT segment_id, k, event_lsn, offset, len FROM {garbage_events} ORDER BY segment_id, k, event_lsn, offset, len")
 query("tk07_latest_sorted", "SELECT k, max(lsn) AS lsn FROM {mutations} GROUP BY k ORDER BY k")
 query("tk08_first_claimable", "SELECT segment_id, retired_bytes FROM {segment_summaries} WHERE NOT claimed AND state = 'Sealed' ORDER BY retired_bytes DESC, segment_id LIMIT 1")
-query("tk09_bounded_batch", "SELECT event_lsn, len FROM (SELECT event_lsn, len, sum(len) OVER (ORDER BY event_lsn, segment_id, offset, event ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before, row_number() OVER (ORDER BY event_lsn, segment_id, offset, event) AS rn FROM {garbage_events} WHERE segment_id <= 64) WHERE rn <= 256 AND coalesce(before, 0) < 300000")
 query("st01_union_all", "SELECT k, lsn FROM {mutations} WHERE lsn <= 4000 UNION ALL SELECT k, lsn FROM {mutations} WHERE lsn > 4000 AND lsn <= 6000 UNION ALL SELECT k, lsn FROM {mutations} WHERE lsn > 6000")
-query("st02_manifest_edit", "SELECT file_id, level FROM {files} WHERE file_id % 4 <> 0 UNION ALL SELECT file_id + 500000, level FROM {files} WHERE file_id % 4 = 0")
 query("st03_semantic_dedup", "SELECT DISTINCT segment_id, k, event_lsn, event, offset, len FROM (SELECT * FROM {garbage_events} UNION ALL SELECT * FROM {garbage_events} WHERE event_lsn % 3 = 0)")
 query("st04_live_indexes", "SELECT segment_id FROM {segments} EXCEPT SELECT segment_id FROM {segments} WHERE claimed")
 query("st05_plan_sources", "SELECT DISTINCT segment_id FROM {histogram}")
@@ -189,11 +182,10 @@ WITH h AS (SELECT segment_id, sum(CASE WHEN end_epoch <= 29 THEN bytes ELSE 0 EN
 SELECT s.placement, s.state, CAST(count(*) AS BIGINT) AS n, CAST(sum(s.total_bytes) AS BIGINT) AS total_bytes, CAST(sum(s.live_bytes) AS BIGINT) AS live_bytes, CAST(sum(coalesce(h.ended, 0)) AS BIGINT) AS ended_bytes,
        CAST(sum(coalesce(h.later, 0)) AS BIGINT) AS later_bytes, CAST(sum(s.unknown_bytes) AS BIGINT) AS unknown_bytes, CAST(sum(s.live_bytes - s.unknown_bytes - coalesce(h.ended, 0) - coalesce(h.later, 0)) AS BIGINT) AS remainder
 FROM {segment_summaries} s LEFT JOIN h ON h.segment_id = s.segment_id GROUP BY s.placement, s.state""")
-query("rp05_expired_still_live", "SELECT s.segment_id, s.placement_epoch, CAST(sum(h.bytes) AS BIGINT) AS live_bytes FROM {segments} s JOIN {histogram} h ON h.segment_id = s.segment_id WHERE s.placement = 'ExactEpoch' AND s.placement_epoch <= 29 AND h.end_epoch > 29 GROUP BY s.segment_id, s.placement_epoch")
 query("rp07_state_metrics", "SELECT state, CAST(count(*) AS BIGINT) AS n, CAST(sum(total_bytes) AS BIGINT) AS total_bytes, CAST(sum(live_bytes) AS BIGINT) AS live_bytes, CAST(sum(retired_bytes) AS BIGINT) AS retired_bytes FROM {segment_summaries} GROUP BY state")
 query("rp09_scorecard", "SELECT CAST(count(*) AS BIGINT) AS records, CAST(sum(CASE WHEN retire_lsn IS NOT NULL THEN 1 ELSE 0 END) * 10000 // count(*) AS BIGINT) AS retired_bps, sum(CASE WHEN retire_lsn IS NULL THEN 1 ELSE 0 END) * 100 // count(*) >= 2 AS enough_live FROM {versions}")
 query("rp10_lifetime_offsets", "SELECT end_epoch - epoch AS future_offset, CAST(count(*) AS BIGINT) AS n FROM {mutations} WHERE op = 'life' GROUP BY end_epoch - epoch")
 query("rp11_delete_backlog", "SELECT CAST(count(*) AS BIGINT) AS due, CAST(coalesce(sum(CASE WHEN end_epoch <= 28 THEN 1 ELSE 0 END), 0) AS BIGINT) AS overdue, max(29 - end_epoch) AS oldest_lag FROM {versions} WHERE retire_lsn IS NULL AND end_epoch <= 29")
 query("rp12_reclaim_timeline", "SELECT epoch, CAST(count(*) AS BIGINT) AS mutations, CAST(sum(CASE WHEN op = 'put' THEN len ELSE 0 END) AS BIGINT) AS bytes FROM {mutations} GROUP BY epoch")
-query("rp13_model_check", "SELECT v.k, v.shard FROM {versions} v WHERE v.retire_lsn IS NULL AND NOT EXISTS (SELECT 1 FROM {mutations} m WHERE m.op = 'put' AND m.k = v.k AND m.shard = v.shard AND m.lsn = v.lsn)")
+query("rp13_model_check", "SELECT CAST(count(*) AS BIGINT) AS checked, CAST(sum(CASE WHEN m.lsn IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS missing FROM {versions} v LEFT JOIN {mutations} m ON m.op = 'put' AND m.k = v.k AND m.shard = v.shard AND m.lsn = v.lsn WHERE v.retire_lsn IS NULL")
 query("live_blobs", "SELECT k, CAST(count(*) AS BIGINT) AS live, CAST(sum(len) AS BIGINT) AS bytes, max(lsn) AS newest FROM {versions} WHERE retire_lsn IS NULL AND (end_epoch IS NULL OR end_epoch > @NOW) GROUP BY k")

@@ -11,16 +11,28 @@ from pyspark.sql import functions as F
 from tidemark.operators import summaries as S
 from tidemark.operators import versions as V
 from tidemark.sources import events as E
+from tidemark.sources.folders import written
 
 #: The epoch as of which plans are made, and that of the end of the log.
 PLAN_EPOCH, LAST_EPOCH = 10, 29
+#: Records of a segment where plans need segments of which little is live.
+FEW = 4
+#: Tables that are derived from versions, some of them more than once.
+_DERIVED = {"versions": 1, "summaries": 1, "histogram": 1, "extensions": 1, "segments": 1, "relocations": 1, "claims": 1, "segment_files": 1, "garbage_events": 2, "segment_summaries": 2}
 
 
 class Model:
     """Domain tables over the log up to an epoch."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str, through_epoch: int | None = None):
-        self.spark, self.sf_dir, self.through = spark, sf_dir, through_epoch
+    def __init__(self, spark: SparkSession, sf_dir: str, through_epoch: int | None = None, per_segment: int = E.SEGMENT_RECORDS):
+        self.spark, self.sf_dir, self.through, self.per_segment = spark, sf_dir, through_epoch, per_segment
+
+    def settled(self, *names: str) -> Model:
+        """The same tables, of which versions and those named are computed once and read by all branches of a plan."""
+        out = Model(self.spark, self.sf_dir, self.through, self.per_segment)
+        for name in ("versions", *names):
+            out.__dict__[name] = written(getattr(out, name), name)
+        return out
 
     @cached_property
     def mutations(self) -> DataFrame:
@@ -32,7 +44,7 @@ class Model:
 
     @cached_property
     def records(self) -> DataFrame:
-        return E.records(self.mutations)
+        return E.records(self.mutations, self.per_segment)
 
     @cached_property
     def versions(self) -> DataFrame:
@@ -84,6 +96,17 @@ class Model:
         moved = self.versions.filter("retire_lsn IS NULL AND segment_id % 5 = 0")
         return moved.select("k", "shard", F.col("lsn").alias("payload_lsn"), (F.col("segment_id") + 1000).alias("to_segment"), F.col("offset").alias("to_offset"), "len")
 
+    @cached_property
+    def claims(self) -> DataFrame:
+        """Segments that a relocation has claimed: those with copies elsewhere."""
+        return self.relocations.select((F.col("to_segment") - 1000).alias("segment_id")).distinct()
+
+    @cached_property
+    def segment_files(self) -> DataFrame:
+        """Files found on disk by segment: those of the index, and some of writers that died before they were entered."""
+        lost = self.segments.filter("segment_id % 7 = 3").select((F.col("segment_id") + 5000).alias("segment_id"))
+        return self.segments.select("segment_id").unionByName(lost)
+
     @cached_property
     def files(self) -> DataFrame:
         """Key ranges of files by level: base files over 16 keys each, patch files over 10 keys and an epoch of three."""
@@ -108,7 +131,8 @@ class Model:
     def sql(self, text: str) -> DataFrame:
         """Run portable SQL: {table} is one of the tables above, // is integer division."""
         names = set(re.findall(r"\{(\w+)\}", text))
-        return self.spark.sql(text.replace("//", " div ").replace("@UTF", ", 'UTF-8'"), **{n: self.table(n) for n in names})
+        own = self.settled() if sum(_DERIVED.get(n, 0) for n in names) > 1 else self
+        return self.spark.sql(text.replace("//", " div ").replace("@UTF", ", 'UTF-8'"), **{n: own.table(n) for n in names})
 
 
 #: The same tables for DuckDB. EPOCHS limits the log.
@@ -122,7 +146,7 @@ mutations AS MATERIALIZED (
 epoch_changes AS (SELECT 0::BIGINT AS lsn, 0::BIGINT AS epoch UNION ALL SELECT min(lsn) - 1, epoch FROM mutations WHERE epoch > 0 GROUP BY epoch),
 records AS MATERIALIZED (
   SELECT lsn, k, shard, epoch, len, segment_id, (sum(len) OVER (PARTITION BY segment_id ORDER BY lsn) - len)::BIGINT AS "offset"
-  FROM (SELECT *, 1 + (row_number() OVER (ORDER BY lsn) - 1) // 128 AS segment_id FROM mutations WHERE op = 'put')),
+  FROM (SELECT *, 1 + (row_number() OVER (ORDER BY lsn) - 1) // PER_SEGMENT AS segment_id FROM mutations WHERE op = 'put')),
 log1 AS MATERIALIZED (SELECT *, count(*) FILTER (op = 'del') OVER (PARTITION BY k ORDER BY lsn) AS dg FROM mutations),
 life1 AS (SELECT *, lag(lsn) OVER w AS prev_lsn, lag(end_epoch) OVER w AS prev_end FROM log1 WHERE op = 'life' WINDOW w AS (PARTITION BY k, dg ORDER BY lsn)),
 life2 AS (SELECT *, coalesce(prev_end <= epoch, false) AS expired_prev, sum(CASE WHEN prev_lsn IS NULL OR prev_end <= epoch THEN 1 ELSE 0 END) OVER (PARTITION BY k, dg ORDER BY lsn) AS island FROM life1),
@@ -150,6 +174,8 @@ segments AS (
 segment_summaries AS (SELECT * FROM segments LEFT JOIN summaries USING (segment_id)),
 shards AS (SELECT * FROM (VALUES (0::BIGINT, 0::BIGINT, 'Active'), (1, 1, 'Active'), (2, 0, 'Dropped')) t(shard_id, current_generation, state)),
 relocations AS (SELECT k, shard, lsn AS payload_lsn, segment_id + 1000 AS to_segment, "offset" AS to_offset, len FROM versions WHERE retire_lsn IS NULL AND segment_id % 5 = 0),
+claims AS (SELECT DISTINCT to_segment - 1000 AS segment_id FROM relocations),
+segment_files AS (SELECT segment_id FROM segments UNION ALL SELECT segment_id + 5000 FROM segments WHERE segment_id % 7 = 3),
 files AS (
   SELECT k // 16 AS file_id, 'base' AS level, min(k) AS first_k, max(k) AS last_k, min(lsn) AS min_lsn, max(lsn) AS max_lsn, count(*) * 100 AS file_len FROM mutations GROUP BY ALL
   UNION ALL SELECT 1000 + epoch * 1000 + k // 40, 'patch', min(k), max(k), min(lsn), max(lsn), count(*) * 100 FROM mutations WHERE epoch % 3 = 0 GROUP BY ALL),
@@ -159,11 +185,11 @@ garbage_events AS (
 """
 
 
-def duck(text: str, through_epoch: int | None = None) -> str:
+def duck(text: str, through_epoch: int | None = None, per_segment: int = E.SEGMENT_RECORDS) -> str:
     """DuckDB SQL of a portable query, or of SQL written for DuckDB over the same tables."""
     text = text.replace("@UTF", "")
     text = re.sub(r'(?<!")\boffset\b(?!")', '"offset"', re.sub(r"\{(\w+)\}", r"\1", text)).strip()
-    prelude = _DUCK.replace("EPOCHS", "true" if through_epoch is None else f"epoch <= {through_epoch}").strip()
+    prelude = _DUCK.replace("EPOCHS", "true" if through_epoch is None else f"epoch <= {through_epoch}").replace("PER_SEGMENT", str(per_segment)).strip()
     # Its own WITH clauses go on from the shared ones.
     for head in ("WITH RECURSIVE ", "WITH "):
         if text.startswith(head):

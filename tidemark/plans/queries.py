@@ -4,33 +4,33 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import stats
-from tidemark.operators import control, folds, frontiers, intervals, summaries, versions
+from tidemark.operators import control, folds, frontiers, intervals, merge, summaries, versions
 from tidemark.operators.planner import Planner, ranked
-from tidemark.plans.model import LAST_EPOCH, PLAN_EPOCH, Model
+from tidemark.plans import arithmetic
+from tidemark.plans.model import FEW, LAST_EPOCH, PLAN_EPOCH, Model
+from tidemark.sources import record_files, tables
+from tidemark.sources.events import SEGMENT_RECORDS
+from tidemark.sources.folders import fresh_folder
+from tidemark.store import Store
 
-#: name: (function of a model, epoch that the log ends at, DuckDB SQL or None).
-BUILT: dict[str, tuple[Callable[[Model], DataFrame], int | None, str | None]] = {}
+#: name: (function of a model, epoch that the log ends at, DuckDB SQL or None, records of a segment).
+BUILT: dict[str, tuple[Callable[[Model], DataFrame], int | None, str | None, int]] = {}
 
 
-def built(name: str, sql: str | None, through: int | None = None):
+def built(name: str, sql: str | None, through: int | None = None, per_segment: int = SEGMENT_RECORDS):
     def add(f):
-        BUILT[name] = (f, through, sql)
+        BUILT[name] = (f, through, sql, per_segment)
         return f
 
     return add
 
 
-@built("sc08_payload_range", "SELECT doc_id, decode(encode(text)[11:30]) AS part FROM documents WHERE lang = 'en' AND text = regexp_replace(text, '[^ -~\\n]', '', 'g')")
-def payload_range(m: Model) -> DataFrame:
-    docs = m.table("documents").filter("lang = 'en'").filter(F.col("text") == F.regexp_replace("text", "[^ -~\\n]", ""))
-    return docs.select("doc_id", F.decode(F.substring(F.encode("text", "UTF-8"), 11, 20), "UTF-8").alias("part"))
-
-
 @built("sc08_payload_bytes", "SELECT doc_id, hex(encode(text)[11:30]) AS part FROM documents")
+@built("sc08_payload_range", "SELECT doc_id, hex(encode(text)[11:30]) AS part FROM documents")
 def payload_bytes(m: Model) -> DataFrame:
     """The byte range of all documents, in hex as it may cut characters."""
     return m.table("documents").select("doc_id", F.hex(F.substring(F.encode("text", "UTF-8"), 11, 20)).alias("part"))
@@ -147,29 +147,67 @@ def greedy_rollover(m: Model) -> DataFrame:
     return folds.greedy_rollover(m.records, 20_000, "k")
 
 
-@built("wn07_coalesced_ranges", """
-WITH r AS (SELECT segment_id, "offset" AS a, "offset" + len + 200 AS b FROM records WHERE lsn % 7 < 3),
+_ISLANDS = """
 n AS (SELECT *, CASE WHEN a > max(b) OVER (PARTITION BY segment_id ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 1 ELSE 0 END AS new FROM r),
 i AS (SELECT *, sum(new) OVER (PARTITION BY segment_id ORDER BY a, b) AS island FROM n)
-SELECT segment_id, min(a)::BIGINT AS start, max(b)::BIGINT AS "end" FROM i GROUP BY segment_id, island""")
+SELECT segment_id, min(a)::BIGINT AS start, max(b)::BIGINT AS "end" FROM i GROUP BY segment_id, island"""
+
+
+def _extents(df: DataFrame) -> DataFrame:
+    return df.select("segment_id", F.col("offset").alias("start"), (F.col("offset") + F.col("len")).alias("end"))
+
+
+@built("wn07_coalesced_ranges", f'WITH r AS (SELECT segment_id, "offset" AS a, "offset" + len AS b FROM versions WHERE retire_lsn IS NOT NULL), {_ISLANDS}')
 def coalesced_ranges(m: Model) -> DataFrame:
-    ranges = m.records.filter("lsn % 7 < 3").select("segment_id", F.col("offset").alias("start"), (F.col("offset") + F.col("len") + 200).alias("end"))
-    return intervals.coalesce_ranges(ranges)
-
-
-@built("wn08_range_difference", """
-WITH e AS (SELECT segment_id, "offset" AS edge, 1 AS a, 0 AS b FROM records WHERE lsn % 7 < 3 UNION ALL SELECT segment_id, "offset" + len, -1, 0 FROM records WHERE lsn % 7 < 3
-  UNION ALL SELECT segment_id, "offset" + 100, 0, 1 FROM records WHERE lsn % 5 = 0 UNION ALL SELECT segment_id, "offset" + 300, 0, -1 FROM records WHERE lsn % 5 = 0),
-g AS (SELECT segment_id, edge, sum(a) AS a, sum(b) AS b FROM e GROUP BY ALL),
-w AS (SELECT segment_id, edge AS a, lead(edge) OVER (PARTITION BY segment_id ORDER BY edge) AS b, sum(a) OVER (PARTITION BY segment_id ORDER BY edge) AS x, sum(b) OVER (PARTITION BY segment_id ORDER BY edge) AS y FROM g),
-r AS (SELECT segment_id, a, b FROM w WHERE x > 0 AND y = 0 AND b IS NOT NULL),
-n AS (SELECT *, CASE WHEN a > lag(b) OVER (PARTITION BY segment_id ORDER BY a) THEN 1 ELSE 0 END AS new FROM r),
-i AS (SELECT *, sum(new) OVER (PARTITION BY segment_id ORDER BY a) AS island FROM n)
-SELECT segment_id, min(a)::BIGINT AS start, max(b)::BIGINT AS "end" FROM i GROUP BY segment_id, island""")
+    """What retired records cover; live ones leave gaps."""
+    return intervals.coalesce_ranges(_extents(m.versions.filter("retire_lsn IS NOT NULL")))
+
+
+@built("wn08_range_difference", f'WITH r AS (SELECT segment_id, "offset" AS a, "offset" + len AS b FROM versions WHERE retire_lsn IS NULL), {_ISLANDS}')
 def range_difference(m: Model) -> DataFrame:
-    a = m.records.filter("lsn % 7 < 3").select("segment_id", F.col("offset").alias("start"), (F.col("offset") + F.col("len")).alias("end"))
-    b = m.records.filter("lsn % 5 = 0").select("segment_id", (F.col("offset") + 100).alias("start"), (F.col("offset") + 300).alias("end"))
-    return intervals.subtract_ranges(a, b)
+    """What all records cover and retired ones don't: the live ranges, which the SQL coalesces without a difference."""
+    m = m.settled()
+    return intervals.subtract_ranges(_extents(m.records), _extents(m.versions.filter("retire_lsn IS NOT NULL")))
+
+
+@built("fp11_overlapping_files", "SELECT b.file_id AS base_file, p.file_id AS patch_file FROM files b JOIN files p ON b.level = 'base' AND p.level = 'patch' AND b.first_k <= p.last_k AND p.first_k <= b.last_k")
+def overlapping_files(m: Model) -> DataFrame:
+    of = lambda level: m.files.filter(F.col("level") == level).select(F.col("file_id").alias("id"), F.col("first_k").alias("first"), F.col("last_k").alias("last"))
+    return intervals.overlapping_pairs(of("base"), of("patch"), 64).toDF("base_file", "patch_file")
+
+
+@built("fp20_protected", "SELECT lsn, coalesce(lsn <= (SELECT max(lsn) FROM epoch_changes WHERE epoch % 10 = 0), false) AS protects FROM mutations")
+def protected(m: Model) -> DataFrame:
+    """Whether the newest live pin, here of every tenth epoch's beginning, is at or after an LSN; nothing is without one."""
+    newest = m.epoch_changes.filter("epoch % 10 = 0").agg(F.max("lsn")).scalar()
+    return m.mutations.select("lsn", F.coalesce(newest >= F.col("lsn"), F.lit(False)).alias("protects"))
+
+
+@built("jn06_expiry", "SELECT e.end_epoch, min(c.lsn) AS lsn FROM (SELECT DISTINCT end_epoch FROM mutations WHERE op = 'life') e LEFT JOIN epoch_changes c ON c.epoch >= e.end_epoch GROUP BY e.end_epoch")
+def expiry(m: Model) -> DataFrame:
+    """The first epoch change that reaches each end: a running least LSN from the last epoch down, a row for each epoch."""
+    return frontiers.first_reaching(m.mutations.filter("op = 'life'").select("end_epoch").distinct(), m.epoch_changes)
+
+
+@built("st02_manifest_edit", """
+SELECT file_id, level FROM files WHERE NOT (level = 'patch' AND max_lsn <= 15000)
+UNION ALL SELECT DISTINCT first_k // 80 + 500000, 'base' FROM files WHERE level = 'patch' AND max_lsn <= 15000""")
+def manifest_edit(m: Model) -> DataFrame:
+    """Patch files that a frontier covers go, a merged file for each 80 keys of theirs comes."""
+    merged = m.files.filter("level = 'patch' AND max_lsn <= 15000")
+    added = merged.select(F.expr("first_k div 80 + 500000").alias("file_id"), F.lit("base").alias("level")).distinct()
+    return frontiers.edit(m.files.select("file_id", "level"), merged.select("file_id", "level"), added)
+
+
+@built("tk09_bounded_batch", """
+SELECT event_lsn, len FROM (SELECT event_lsn, len, sum(len) OVER w AS before, row_number() OVER (ORDER BY event_lsn, segment_id, "offset", event) AS rn FROM garbage_events
+  WINDOW w AS (ORDER BY event_lsn, segment_id, "offset", event ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) WHERE rn <= 256 AND coalesce(before, 0) < 300000""")
+def bounded_batch(m: Model) -> DataFrame:
+    """The first events of the log, 256 and the one that reaches 300,000 bytes at most; only the least 256 are ever gathered."""
+    order = ["event_lsn", "segment_id", "offset", "event"]
+    least = m.settled().garbage_events.select(*order, "len").orderBy(*order).limit(256)
+    before = F.sum("len").over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
+    return least.withColumn("before", before).filter(F.coalesce("before", F.lit(0)) < 300_000).select("event_lsn", "len")
 
 
 CLASSIFY = """
@@ -177,7 +215,7 @@ SELECT r.lsn, CASE WHEN v.retire_lsn IS NOT NULL THEN 'retired' WHEN v.end_epoch
 
 
 def _classified(m: Model) -> DataFrame:
-    at = lambda df: df.select("segment_id", F.col("offset").alias("start"), (F.col("offset") + F.col("len")).alias("end"))
+    m, at = m.settled(), _extents
     retired = intervals.coalesce_ranges(at(m.versions.filter("retire_lsn IS NOT NULL")))
     expired = intervals.coalesce_ranges(at(m.versions.filter(f"retire_lsn IS NULL AND end_epoch <= {LAST_EPOCH}")))
     records = m.records.select("lsn", "segment_id", F.col("offset").alias("start"), (F.col("offset") + F.col("len")).alias("end"), "len")
@@ -204,21 +242,19 @@ def epoch_at_lsn(m: Model) -> DataFrame:
     return frontiers.epoch_at(m.mutations.select("lsn"), m.epoch_changes)
 
 
-@built("fp18_expiry_transition", "SELECT l.lsn, min(c.lsn) AS expires_at FROM mutations l LEFT JOIN epoch_changes c ON c.epoch >= l.end_epoch AND c.lsn <= 15000 WHERE l.op = 'life' GROUP BY l.lsn")
+@built("fp18_expiry_transition", "SELECT l.lsn, min(c.lsn) AS expires_at FROM mutations l LEFT JOIN epoch_changes c ON c.epoch >= l.end_epoch WHERE l.op = 'life' GROUP BY l.lsn")
 def expiry_transition(m: Model) -> DataFrame:
-    # Epochs only grow along the log: the first change that reaches an end is that of the end itself, or of the next epoch there is.
-    changes = m.epoch_changes.filter("lsn <= 15000")
-    reach = changes.select(F.col("epoch"), "lsn")
-    ends = m.mutations.filter("op = 'life'").select("end_epoch").distinct().join(F.broadcast(reach), F.col("epoch") >= F.col("end_epoch"), "left").groupBy("end_epoch").agg(F.min("lsn").alias("expires_at"))
-    return m.mutations.filter("op = 'life'").select("lsn", "end_epoch").join(ends, "end_epoch").select("lsn", "expires_at")
+    lives = m.mutations.filter("op = 'life'").select("lsn", "end_epoch")
+    reach = frontiers.first_reaching(lives.select("end_epoch").distinct(), m.epoch_changes)
+    return lives.join(reach.withColumnRenamed("lsn", "expires_at"), "end_epoch").select("lsn", "expires_at")
 
 
 @built("jn17_overlap_closure", """
-WITH n AS (SELECT *, CASE WHEN first_k > max(last_k) OVER (ORDER BY first_k, last_k, file_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 1 ELSE 0 END AS new FROM files WHERE level = 'base' AND file_id % 2 = 0 OR file_id % 40 = 0),
+WITH n AS (SELECT *, CASE WHEN first_k > max(last_k) OVER (ORDER BY first_k, last_k, file_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 1 ELSE 0 END AS new FROM files),
 i AS (SELECT *, sum(new) OVER (ORDER BY first_k, last_k, file_id) AS g FROM n)
 SELECT file_id, level, min(first_k) OVER (PARTITION BY g) AS group_start FROM i""")
 def overlap_closure(m: Model) -> DataFrame:
-    return frontiers.file_groups(m.files.filter("level = 'base' AND file_id % 2 = 0 OR file_id % 40 = 0")).select("file_id", "level", "group_start")
+    return frontiers.file_groups(m.files).select("file_id", "level", "group_start")
 
 
 @built("jn16_forwarded_garbage", """
@@ -238,13 +274,23 @@ def forwarded_garbage(m: Model) -> DataFrame:
     )
 
 
-@built("wn10_blob_patch_tier", None)
+@built("wn10_blob_patch_tier", """
+WITH RECURSIVE s AS (SELECT first_k % 4 AS part, file_id, greatest(file_len, 1) AS len, row_number() OVER (PARTITION BY first_k % 4 ORDER BY min_lsn, max_lsn, file_id) AS n FROM files WHERE level = 'patch'),
+f AS (SELECT part, file_id, n, n AS run, len AS lo, len AS hi FROM s WHERE n = 1
+  UNION ALL SELECT s.part, s.file_id, s.n, CASE WHEN c THEN f.run ELSE s.n END, CASE WHEN c THEN least(f.lo, s.len) ELSE s.len END, CASE WHEN c THEN greatest(f.hi, s.len) ELSE s.len END
+  FROM (SELECT f.*, x.file_id AS next_file, x.len, greatest(f.hi, x.len) <= 4 * least(f.lo, x.len) AS c FROM f JOIN s x ON x.part = f.part AND x.n = f.n + 1) f JOIN s ON s.part = f.part AND s.n = f.n + 1),
+g AS (SELECT part, min(run) AS run FROM (SELECT part, run FROM f GROUP BY part, run HAVING count(*) >= 4) GROUP BY part)
+SELECT f.part AS "partition", f.file_id FROM f JOIN g ON g.part = f.part AND g.run = f.run WHERE f.n < f.run + 16""")
 def blob_patch_tier(m: Model) -> DataFrame:
     files = m.files.filter("level = 'patch'").withColumn("partition", F.col("first_k") % 4)
     return folds.comparable_run(files, "partition")
 
 
-@built("wn12_smoothed_latency", None)
+@built("wn12_smoothed_latency", """
+WITH RECURSIVE s AS (SELECT k, lsn, len, row_number() OVER (PARTITION BY k ORDER BY lsn) AS n FROM mutations WHERE op = 'put'),
+f AS (SELECT k, lsn, n, len::BIGINT AS average, len::BIGINT AS baseline FROM s WHERE n = 1
+  UNION ALL SELECT k, lsn, n, average, CASE WHEN average < old THEN average ELSE old + (average - old) // 64 END FROM (SELECT s.k, s.lsn, s.n, ((7 * f.average + s.len) // 8)::BIGINT AS average, f.baseline AS old FROM f JOIN s ON s.k = f.k AND s.n = f.n + 1))
+SELECT k, lsn, average, baseline FROM f""")
 def smoothed_latency(m: Model) -> DataFrame:
     return folds.smoothed(m.mutations.filter("op = 'put'"), "k", "lsn", "len")
 
@@ -273,19 +319,21 @@ q AS (SELECT scenario, action, segment_id::BIGINT AS segment_id, copied_bytes::B
 
 
 def planner(m: Model) -> Planner:
+    m = m.settled("segment_summaries", "histogram", "extensions")  # one snapshot, which all scenarios read
     return Planner(m.segment_summaries, m.histogram, m.extensions, PLAN_EPOCH, PLAN_EPOCH)
 
 
-def _scenario(name: str, where: str, method: str) -> None:
-    built(name, f"{PLANS} SELECT * FROM q WHERE {where}", PLAN_EPOCH)(lambda m: getattr(planner(m), method)())
+def _scenario(name: str, where: str, method: str, per_segment: int = SEGMENT_RECORDS) -> None:
+    built(name, f"{PLANS} SELECT * FROM q WHERE {where}", PLAN_EPOCH, per_segment)(lambda m: getattr(planner(m), method)())
 
 
 _scenario("pl01_empty_deletes", "scenario = 'EmptyDelete'", "empty_deletes")
 _scenario("pl02_l0_candidates", "scenario = 'L0Compaction'", "l0")
 _scenario("pl03_dead_refs", "scenario = 'DeadRef'", "dead_refs")
-_scenario("pl04_join_multiple", "scenario = 'JoinMultiple'", "joins")
-_scenario("pl05_pinned_epochs", "scenario = 'PinnedEpochExpiry'", "pinned")
+_scenario("pl04_join_multiple", "scenario = 'JoinMultiple'", "joins", FEW)
+_scenario("pl05_pinned_epochs", "scenario = 'PinnedEpochExpiry'", "pinned", FEW)
 _scenario("pl07_scores", "true", "plans")
+_scenario("pl07_scores_few", "true", "plans", FEW)
 
 
 @built("pl06_routes", """
@@ -423,7 +471,7 @@ def bucket_quantile(m: Model) -> DataFrame:
 built("sf07_garbage_bps", BUILT["pl08_ratio_bps"][2])(ratios)
 
 
-@built("sf04_key_partition", None)
+@built("sf04_key_partition", arithmetic.XXHASH64_MOD_8)
 def key_partition(m: Model) -> DataFrame:
     return m.mutations.select("k").distinct().select("k", F.pmod(F.xxhash64("k"), F.lit(8)).alias("partition"))
 
@@ -433,7 +481,7 @@ def split_words(m: Model) -> DataFrame:
     return m.table("documents").select("doc_id", F.size(F.split(F.concat("source", F.lit(" put key")), " ")).cast("long").alias("words"))
 
 
-@built("sf14_splitmix", None)
+@built("sf14_splitmix", arithmetic.SPLITMIX)
 def splitmix(m: Model) -> DataFrame:
     return stats.splitmix64(m.mutations.select("lsn"), "lsn", "drawn")
 
@@ -442,3 +490,160 @@ def splitmix(m: Model) -> DataFrame:
 def bytes_by_type(m: Model) -> DataFrame:
     files = m.spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(m.sf_dir).select("path", "length")
     return files.groupBy(F.regexp_extract("path", r"\.(\w+)$", 1).alias("type")).agg(F.count("*").alias("n"), F.sum("length").alias("bytes"))
+
+
+@built("rp05_expired_still_live", f"""
+SELECT v.segment_id, any_value(s.placement_epoch) AS placement_epoch, sum(v.len)::BIGINT AS live_bytes FROM versions v JOIN segments s USING (segment_id)
+WHERE s.placement = 'ExactEpoch' AND s.placement_epoch <= {PLAN_EPOCH} AND v.retire_lsn IS NULL AND (v.end_epoch IS NULL OR v.end_epoch > {PLAN_EPOCH}) GROUP BY v.segment_id""", PLAN_EPOCH, FEW)
+def expired_still_live(m: Model) -> DataFrame:
+    m = m.settled()
+    late = m.segments.filter((F.col("placement") == "ExactEpoch") & (F.col("placement_epoch") <= PLAN_EPOCH)).select("segment_id", "placement_epoch")
+    live = summaries.live_after(m.summaries, m.histogram, PLAN_EPOCH).filter("live_bytes > 0").select("segment_id", "live_bytes")
+    return late.join(live, "segment_id")
+
+
+# Record format, sinks, logs, merges.
+def _encoded(m: Model) -> DataFrame:
+    return m.table("documents").select("doc_id", record_files.encoded(F.col("doc_id").cast("string"), F.coalesce("text", F.lit("")), F.lit(7)).alias("record"))
+
+
+_LENGTHS = "octet_length(encode(doc_id::VARCHAR)) AS key_len, octet_length(encode(coalesce(text, ''))) AS payload_len"
+
+
+@built("sc02_peeked_headers", f"SELECT doc_id, key_len::BIGINT AS key_len, payload_len::BIGINT AS payload_len, 7::BIGINT AS shard FROM (SELECT doc_id, {_LENGTHS} FROM documents)")
+def peeked_headers(m: Model) -> DataFrame:
+    return _encoded(m).select("doc_id", record_files.header("record").alias("h")).select("doc_id", "h.key_len", "h.payload_len", "h.shard")
+
+
+@built("sc03_decoded_records", "SELECT doc_id, doc_id::VARCHAR AS key, md5(coalesce(text, '')) AS payload_md5, true AS whole, false AS damaged_is_whole FROM documents")
+def decoded_records(m: Model) -> DataFrame:
+    """Records decode to what was encoded; with their last byte changed the checksum tells."""
+    rows = _encoded(m).withColumn("damaged", F.concat(F.expr("substring(record, 1, length(record) - 1)"), F.lit(b"\x00")))
+    rows = rows.select("doc_id", record_files.decoded("record").alias("r"), record_files.decoded("damaged").alias("d"))
+    return rows.select("doc_id", F.col("r.key").cast("string").alias("key"), F.md5("r.payload").alias("payload_md5"), F.col("r.whole").alias("whole"), F.col("d.whole").alias("damaged_is_whole"))
+
+
+@built("sc04_encoded_records", f"SELECT doc_id, (64 + key_len + payload_len)::BIGINT AS encoded_len, '53545230' AS magic FROM (SELECT doc_id, {_LENGTHS} FROM documents)")
+def encoded_records(m: Model) -> DataFrame:
+    return _encoded(m).select("doc_id", F.octet_length("record").cast("long").alias("encoded_len"), F.hex(F.substring("record", 1, 4)).alias("magic"))
+
+
+@built("sc17_sorted_table", "SELECT k, shard, lsn, op FROM mutations WHERE k >= 3 AND k < 40")
+def sorted_table(m: Model) -> DataFrame:
+    """A range read from files written in disjoint, sorted ranges of keys, with a bloom filter for point reads."""
+    folder = fresh_folder(m.spark, "sorted")
+    tables.write_sorted(m.mutations.select("k", "shard", "lsn", "op"), folder, "k", "lsn", bloom="k")
+    return m.spark.read.schema("k long, shard long, lsn long, op string").parquet(folder).filter("k >= 3 AND k < 40")
+
+
+def _index(m: Model) -> tables.VersionedTable:
+    """Newest put of each (k, shard) up to LSN 9000, then batches of later puts and of tombstones, as versions 1 and 2."""
+    table = tables.VersionedTable(m.spark, fresh_folder(m.spark, "index"), "entry string, k long, shard long, lsn long", "entry")
+    named = lambda rows: rows.groupBy(F.concat_ws("/", "k", "shard").alias("entry"), "k", "shard").agg(F.max("lsn").alias("lsn"))
+    table.commit(named(m.mutations.filter("op = 'put' AND lsn <= 9000")))
+    late = m.mutations.filter("op IN ('put', 'tomb') AND lsn > 9000").groupBy("k", "shard").agg(F.max_by("op", "lsn").alias("op"), F.max("lsn").alias("lsn"))
+    table.commit(named(late.filter("op = 'put'")), removed=late.filter("op = 'tomb'").select(F.concat_ws("/", "k", "shard").alias("entry")))
+    return table
+
+
+@built("sc22_pinned_snapshot", "SELECT k, shard, max(lsn) AS lsn FROM mutations WHERE op = 'put' AND lsn <= 9000 GROUP BY k, shard")
+def pinned_snapshot(m: Model) -> DataFrame:
+    """Version 1 reads as it did, whatever was committed after it."""
+    return _index(m).snapshot(1).select("k", "shard", "lsn")
+
+
+@built("sc24_index_batch", """
+WITH l AS (SELECT k, shard, max(lsn) AS lsn, arg_max(op, lsn) AS op FROM mutations WHERE op IN ('put', 'tomb') AND lsn > 9000 GROUP BY k, shard),
+b AS (SELECT k, shard, max(lsn) AS lsn FROM mutations WHERE op = 'put' AND lsn <= 9000 GROUP BY k, shard)
+SELECT coalesce(l.k, b.k) AS k, coalesce(l.shard, b.shard) AS shard, coalesce(l.lsn, b.lsn) AS lsn FROM l FULL JOIN b ON l.k = b.k AND l.shard = b.shard WHERE l.op IS NULL OR l.op = 'put'""")
+def index_batch(m: Model) -> DataFrame:
+    return _index(m).snapshot().select("k", "shard", "lsn")
+
+
+@built("mu08_group_commit", "SELECT 1 + lsn // 4000 AS version, count(*)::BIGINT AS n FROM mutations WHERE lsn < 12000 GROUP BY ALL")
+def group_commit(m: Model) -> DataFrame:
+    """Three groups of mutations, each published in one step; every reader sees whole groups."""
+    table = tables.VersionedTable(m.spark, fresh_folder(m.spark, "groups"), "lsn long, version long", "lsn")
+    for n in range(3):
+        table.commit(m.mutations.filter(f"lsn div 4000 = {n}").select("lsn", F.lit(n + 1).cast("long").alias("version")))
+    return table.snapshot().groupBy("version").agg(F.count("*").alias("n"))
+
+
+@built("mu11_durable_frontier", "SELECT 3::BIGINT AS version, max(lsn) AS durable_lsn FROM mutations WHERE lsn < 12000")
+def durable_frontier(m: Model) -> DataFrame:
+    """What sync() waits for: the newest committed version, and the last LSN in it."""
+    table = tables.VersionedTable(m.spark, fresh_folder(m.spark, "durable"), "lsn long, k long", "lsn")
+    for n in range(3):
+        table.commit(m.mutations.filter(f"lsn div 4000 = {n}").select("lsn", "k"))
+    return table.snapshot().agg(F.lit(table.version()).cast("long").alias("version"), F.max("lsn").alias("durable_lsn"))
+
+
+@built("sc26_log_cursor", """
+WITH n AS (SELECT event_lsn, sum(count(*)) OVER (ORDER BY event_lsn) AS upto FROM garbage_events GROUP BY event_lsn),
+a AS (SELECT max(event_lsn) AS at FROM n WHERE upto <= 40),
+b AS (SELECT max(event_lsn) AS at FROM n WHERE upto - (SELECT max(upto) FROM n WHERE upto <= 40) <= 40)
+SELECT CASE WHEN event_lsn <= a.at THEN 1 ELSE 2 END::BIGINT AS batch, segment_id, event_lsn, event FROM garbage_events, a, b WHERE event_lsn <= b.at""")
+def log_cursor(m: Model) -> DataFrame:
+    """Two batches of at most 40 events from a log, the second from where the first one's cursor ends."""
+    folder = fresh_folder(m.spark, "garbage")
+    names = ["segment_id", "event_lsn", "event"]
+    tables.append_frames(m.settled().garbage_events.select(*names), folder, "event_lsn")
+    log = m.spark.read.schema("segment_id long, event_lsn long, event string").parquet(folder)
+    first, cursor = tables.read_frames(log, -1, 40, "event_lsn")
+    second, _ = tables.read_frames(log, cursor, 40, "event_lsn")
+    number = lambda rows, n: rows.select(F.lit(n).cast("long").alias("batch"), *names)
+    return number(first, 1).unionByName(number(second, 2))
+
+
+@built("sc30_summary_dump", "SELECT s.segment_id, s.state, s.placement, s.total_bytes, s.live_bytes, s.retired_bytes, (SELECT count(*) FROM histogram h WHERE h.segment_id = s.segment_id) AS buckets FROM segment_summaries s")
+def summary_dump(m: Model) -> DataFrame:
+    m = m.settled()
+    buckets = m.histogram.groupBy("segment_id").agg(F.count("*").alias("buckets"))
+    return m.segment_summaries.join(buckets, "segment_id", "left").select("segment_id", "state", "placement", "total_bytes", "live_bytes", "retired_bytes", F.coalesce("buckets", F.lit(0).cast("long")).alias("buckets"))
+
+
+@built("rp14_shell_reads", """
+SELECT 'get' AS command, k, shard, lsn FROM versions WHERE k = 7 AND retire_lsn IS NULL AND (end_epoch IS NULL OR end_epoch > 29)
+UNION ALL SELECT 'range', k, shard, lsn FROM versions WHERE k >= 3 AND k < 20 AND retire_lsn IS NULL AND (end_epoch IS NULL OR end_epoch > 29)
+UNION ALL SELECT 'segment', k, shard, lsn FROM versions WHERE segment_id = 3""")
+def shell_reads(m: Model) -> DataFrame:
+    store = Store(m.mutations)
+    each = {"get": store.get(7), "range": store.range(3, 20), "segment": store.segment(3)}
+    named = [rows.select(F.lit(x).alias("command"), "k", "shard", "lsn") for x, rows in each.items()]
+    return named[0].unionByName(named[1]).unionByName(named[2])
+
+
+@built("fp13_bloom", "SELECT DISTINCT k, true AS may_contain FROM mutations WHERE op = 'put'")
+def bloom(m: Model) -> DataFrame:
+    """A filter of ten bits a key never denies a key that it was built from."""
+    puts = m.mutations.filter("op = 'put'").select("k").distinct()
+    return frontiers.bloom_probe(puts, frontiers.bloom_bits(puts, "k"), "k")
+
+
+@built("sf21_key_codec", "SELECT DISTINCT k, lower(lpad(to_hex(k), 16, '0')) AS encoded FROM mutations WHERE k >= 0")
+def key_codec(m: Model) -> DataFrame:
+    """Big-endian keys with the sign turned, whose bytes sort as the numbers do; in hex, with the sign turned back."""
+    from tidemark.functions.codec import decode_key, encode_key
+
+    keys = m.mutations.select("k").distinct().withColumn("code", encode_key(F.col("k")))
+    return keys.select(decode_key(F.col("code")).alias("k"), F.lower(F.lpad(F.hex(decode_key(F.col("code"))), 16, "0")).alias("encoded"))
+
+
+@built("ux01_replace_merge", "SELECT k, max(lsn) AS lsn, count(*) - 1 AS replaced FROM mutations WHERE op = 'put' GROUP BY k")
+def replace_merge(m: Model) -> DataFrame:
+    """Last write wins through the merge operator, base and patches apart, with what is replaced as its side output."""
+    rows = m.mutations.filter("op = 'put'").select("k", "lsn", F.col("len").alias("v"))
+    base = merge.latest(rows.filter("lsn <= 9000"), ["k"], "lsn")
+    older = rows.filter("lsn <= 9000").groupBy("k").agg((F.count("*") - 1).alias("older"))
+    got = merge.merged(base, rows.filter("lsn > 9000"), merge.replace_latest("k", "lsn", "v"), "k", "lsn", "k long, lsn long, v long", "k long, lsn long")
+    state, events = got.filter("kind = 'state'").select("k", "lsn"), got.filter("kind = 'event'").groupBy("k").agg(F.count("*").alias("events"))
+    return state.join(events, "k", "left").join(older, "k", "left").select("k", "lsn", (F.coalesce("events", F.lit(0)) + F.coalesce("older", F.lit(0))).alias("replaced"))
+
+
+@built("ux02_blob_merge", "SELECT k, shard, lsn FROM versions WHERE retire_lsn IS NULL")
+def blob_merge(m: Model) -> DataFrame:
+    """Live versions of each key by the merge operator that folds mutations in order."""
+    log = m.mutations.select("k", "lsn", "shard", "epoch", "op", "end_epoch")
+    got = merge.merged(m.spark.createDataFrame([], "k long, live string"), log, merge.blob_merge(), "k", "lsn", "k long, live string", "k long, lsn long")
+    live = got.filter("kind = 'state'").select("k", F.explode(F.from_json("live", "map<string, array<long>>")).alias("shard", "v"))
+    return live.select("k", F.col("shard").cast("long").alias("shard"), F.col("v")[0].alias("lsn"))

@@ -13,6 +13,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Fixed values of the format.
 MAGIC = b"STR0"
@@ -67,6 +68,26 @@ def scan(data: bytes) -> Iterator[tuple[int, dict, bytes, bytes]]:
         at = end
 
 
+@F.pandas_udf(T.BinaryType())
+def encoded(key: pd.Series, payload: pd.Series, shard: pd.Series) -> pd.Series:
+    """Records of keys and payloads (texts) in a shard."""
+    return pd.Series([encode(k.encode(), p.encode(), shard=int(s)) for k, p, s in zip(key, payload, shard, strict=True)])
+
+
+@F.pandas_udf(T.StructType([T.StructField(x, T.LongType()) for x in ("key_len", "payload_len", "shard", "len")]))
+def header(record: pd.Series) -> pd.DataFrame:
+    """What the headers of records say, without a look at the rest."""
+    names = ("key_len", "payload_len", "shard", "len")
+    return pd.DataFrame([[h[x] for x in names] for h in (peek(bytes(r[:HEADER_LEN])) for r in record)], columns=names)
+
+
+@F.pandas_udf(T.StructType([T.StructField("key", T.BinaryType()), T.StructField("payload", T.BinaryType()), T.StructField("whole", T.BooleanType())]))
+def decoded(record: pd.Series) -> pd.DataFrame:
+    """Key and payload of whole records; whole is false for what is torn or damaged."""
+    rows = [next(scan(bytes(r)), None) for r in record]
+    return pd.DataFrame({"key": [r and r[3] for r in rows], "payload": [r and r[2] for r in rows], "whole": [r is not None for r in rows]})
+
+
 SCHEMA = "path string, offset long, len long, key binary, generation long, shard long, shard_generation long, payload binary"
 
 

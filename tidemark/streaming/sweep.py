@@ -13,8 +13,10 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQueryListener
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from tidemark.operators.merge import fold
 from tidemark.sources.folders import fresh_folder, share_code
 
 LOG_SCHEMA = "lsn long, k long, shard long, epoch long, op string, end_epoch long, len long"
@@ -28,54 +30,85 @@ def run_batches(stream: DataFrame, each: Callable[[DataFrame, int, str], None],
     return folder
 
 
-def sweep(stream: DataFrame, frontier: DataFrame, deleted: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(k, puts, bytes) applied, and the rows still pending, of a stream of mutations.
+def swept(stream: DataFrame, frontier: DataFrame, deleted: DataFrame, tries: int = 1) -> dict[str, DataFrame]:
+    """applied (k, puts, bytes), pending rows, and dropped (k, n) of a stream of mutations.
 
     frontier (k, through): rows of a key beyond it are early and wait; deleted (k): rows of these keys are dropped.
+    A batch that is tried again overwrites what it wrote; tries does so on purpose.
     """
 
     def each(batch: DataFrame, number: int, folder: str) -> None:
-        rows = batch.join(deleted, "k", "left_anti").join(frontier, "k", "left").withColumn("ready", F.coalesce(F.col("lsn") <= F.col("through"), F.lit(False)))
+        rows = batch.join(deleted.withColumn("gone", F.lit(True)), "k", "left").join(frontier, "k", "left")
+        rows = rows.withColumn("gone", F.coalesce("gone", F.lit(False))).withColumn("ready", F.coalesce(F.col("lsn") <= F.col("through"), F.lit(False)))
         rows = rows.persist()
-        sums = rows.filter("ready AND op = 'put'").groupBy("k").agg(F.count("*").alias("puts"), F.sum("len").alias("bytes"))
-        sums.write.mode("overwrite").parquet(f"{folder}/applied/batch={number}")
-        rows.filter("NOT ready").select(*batch.columns).write.mode("overwrite").parquet(f"{folder}/pending/batch={number}")
+        for _ in range(tries):
+            sums = rows.filter("NOT gone AND ready AND op = 'put'").groupBy("k").agg(F.count("*").alias("puts"), F.sum("len").alias("bytes"))
+            sums.write.mode("overwrite").parquet(f"{folder}/applied/batch={number}")
+            rows.filter("NOT gone AND NOT ready").select(*batch.columns).write.mode("overwrite").parquet(f"{folder}/pending/batch={number}")
+            rows.filter("gone").groupBy("k").agg(F.count("*").alias("n")).write.mode("overwrite").parquet(f"{folder}/dropped/batch={number}")
         rows.unpersist()
 
     spark = stream.sparkSession
     folder = run_batches(stream, each, "sweep")
     applied = spark.read.schema("k long, puts long, bytes long").parquet(f"{folder}/applied/*").groupBy("k").agg(F.sum("puts").alias("puts"), F.sum("bytes").alias("bytes"))
-    return applied, spark.read.schema(LOG_SCHEMA).parquet(f"{folder}/pending/*")
-
-
-def fold(state: dict, rows: list[tuple]) -> dict:
-    """Apply mutations (lsn, shard, epoch, op, end_epoch) of one key, in order, to its state."""
-    live, life = {int(s): tuple(v) for s, v in state.get("live", {}).items()}, state.get("life")
-    for lsn, shard, epoch, op, end_epoch in sorted(rows):
-        if op == "put":
-            live[shard] = (lsn, epoch)
-        elif op == "tomb":
-            live.pop(shard, None)
-        elif op == "del":
-            live, life = {}, None
-        else:
-            if life and life[1] <= epoch:  # it ended before this one came: what it held for is gone
-                live = {s: v for s, v in live.items() if life[0] <= v[0] and life[1] <= v[1]}
-            life = (lsn, end_epoch)
-    return {"live": live, "life": life}
+    dropped = spark.read.schema("k long, n long").parquet(f"{folder}/dropped/*").groupBy("k").agg(F.sum("n").alias("n"))
+    return {"applied": applied, "pending": spark.read.schema(LOG_SCHEMA).parquet(f"{folder}/pending/*"), "dropped": dropped}
+
+
+def sweep(stream: DataFrame, frontier: DataFrame, deleted: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """swept()'s applied and pending."""
+    got = swept(stream, frontier, deleted)
+    return got["applied"], got["pending"]
+
+
+def forwarded(stream: DataFrame, moves: DataFrame) -> DataFrame:
+    """A stream of garbage events (segment_id, offset and more), each also for the copy that its record has by now.
+
+    moves: segment_id, offset, to_segment. They are joined batch by batch, so an event that was not swept when its record
+    moved still reaches the copy.
+    """
+
+    def each(batch: DataFrame, number: int, folder: str) -> None:
+        copies = batch.join(moves, ["segment_id", "offset"]).withColumn("segment_id", F.col("to_segment")).select(*batch.columns)
+        batch.unionByName(copies).write.mode("overwrite").parquet(f"{folder}/events/batch={number}")
+
+    folder = run_batches(stream, each, "forward")
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}/events/*")
+
+
+class ProgressListener(StreamingQueryListener):
+    """Tells a subscriber how far each query is: (query name or id, batch, rows) once a batch is durable."""
+
+    def __init__(self, tell: Callable[[str, int, int], None]):
+        self.tell = tell
+
+    def onQueryStarted(self, event) -> None:  # noqa: N802
+        pass
+
+    def onQueryProgress(self, event) -> None:  # noqa: N802
+        self.tell(event.progress.name or str(event.progress.id), event.progress.batchId, event.progress.numInputRows)
+
+    def onQueryIdle(self, event) -> None:  # noqa: N802
+        pass
+
+    def onQueryTerminated(self, event) -> None:  # noqa: N802
+        pass
 
 
 def fold_stream(stream: DataFrame) -> DataFrame:
-    """k, live: versions that each key holds after all of a stream of mutations, by keyed state."""
+    """k, live, ends of each key after all of a stream of mutations, by keyed state: how many versions it holds, and the
+    end epochs of those that have one. Epochs reach a key lazily, by a look at ends when it is read."""
 
     def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         rows = [r for b in batches for r in b[["lsn", "shard", "epoch", "op", "end_epoch"]].astype(object).itertuples(index=False, name=None)]
         now = fold(json.loads(state.get[0]) if state.exists else {}, [(int(a), int(b), int(c), d, int(e)) for a, b, c, d, e in rows])
         state.update((json.dumps(now),))
-        yield pd.DataFrame({"k": [key[0]], "last_lsn": [int(max(r[0] for r in rows))], "live": [len(now["live"])]})
+        life = now["life"]
+        ends = [life[1] for lsn, epoch in now["live"].values() if life and not (life[0] <= lsn and life[1] <= epoch)]
+        yield pd.DataFrame({"k": [key[0]], "last_lsn": [int(max(r[0] for r in rows))], "live": [len(now["live"])], "ends": [ends]})
 
     share_code(stream.sparkSession)
-    folded = stream.groupBy("k").applyInPandasWithState(update, "k long, last_lsn long, live long", "json string", "update", GroupStateTimeout.NoTimeout)
+    folded = stream.groupBy("k").applyInPandasWithState(update, "k long, last_lsn long, live long, ends array<long>", "json string", "update", GroupStateTimeout.NoTimeout)
 
     def each(batch: DataFrame, number: int, folder: str) -> None:
         batch.write.mode("overwrite").parquet(f"{folder}/states/batch={number}")
@@ -84,8 +117,19 @@ def fold_stream(stream: DataFrame) -> DataFrame:
     query_folder = fresh_folder(spark, "fold")
     query = folded.writeStream.outputMode("update").foreachBatch(lambda df, n: each(df, n, query_folder)).option("checkpointLocation", f"{query_folder}/progress").trigger(availableNow=True).start()
     query.awaitTermination()
-    states = spark.read.schema("k long, last_lsn long, live long").parquet(f"{query_folder}/states/*")
-    return states.groupBy("k").agg(F.max_by("live", "last_lsn").alias("live"))
+    states = spark.read.schema("k long, last_lsn long, live long, ends array<long>").parquet(f"{query_folder}/states/*")
+    return states.groupBy("k").agg(F.max_by(F.struct("live", "ends"), "last_lsn").alias("s")).select("k", "s.live", "s.ends")
+
+
+def stream_in_parts(rows: DataFrame, order: str, bounds: list[int]) -> DataFrame:
+    """rows as a stream of one file a batch, in the order of a column: cut after each of bounds, so that what is kept by
+    key has to last from batch to batch."""
+    folder = fresh_folder(rows.sparkSession, "parts")
+    for lo, hi in zip([None, *bounds], [*bounds, None], strict=True):
+        part = rows if lo is None else rows.filter(F.col(order) > lo)
+        part = part if hi is None else part.filter(F.col(order) <= hi)
+        part.coalesce(1).write.mode("append").parquet(folder)
+    return rows.sparkSession.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(folder)
 
 
 def log_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
