@@ -28,6 +28,8 @@ ORDERS = 3
 SAMPLE_ROWS, LEAST_ROWS = 20_000, 100
 #: Cells of the matrix at most, and the logarithm of buckets at most.
 MATRIX, BITS = 1 << 22, 15
+#: Languages whose shares of the sample are broadcast at most (some 60 bytes each).
+MOST_BROADCAST = 1 << 15
 _MULTIPLIERS = (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D)
 
 
@@ -126,6 +128,8 @@ def fit(rows: DataFrame, sample_rows: int = SAMPLE_ROWS, least_rows: int = LEAST
     shares = spark.createDataFrame([(x, scale * take[x] // number[x]) for x in languages], "lang string, share long")
     place = F.pmod(F.xxhash64("doc_id", "text"), F.lit(scale))
     # The sample is bounded, and so are its tasks and what they count.
+    # Texts don't move for this while languages are few, as they are; a shuffled join is there for any number.
+    shares = F.broadcast(shares) if len(languages) <= MOST_BROADCAST else shares
     sample = rows.join(shares, "lang").filter(place < F.col("share")).select("text", "lang").repartition(min(16, partitions(spark)))
 
     def count(batches):
