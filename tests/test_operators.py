@@ -130,6 +130,56 @@ def test_folds(spark):
     assert sorted(r.file_id for r in folds.comparable_run(files, "g").collect()) == [1, 2, 3, 4]
 
 
+def plain_rollover(rows, capacity):
+    out, segment, used, n = [], 0, 0, 0
+    for lsn, size in rows:
+        if n and used + size > capacity:
+            segment, used, n = segment + 1, 0, 0
+        out.append((lsn, segment, used))
+        used, n = used + size, n + 1
+    return out
+
+
+def plain_run(rows, fanout=4, ratio=4, most=16):
+    run = []
+    for file_id, size in [*rows, (None, None)]:
+        own = [max(s, 1) for _, s in run] + [max(size or 0, 1)]
+        if run and size is not None and max(own) <= ratio * min(own):
+            run.append((file_id, size))
+            continue
+        if len(run) >= fanout:
+            return [f for f, _ in run[:most]]
+        run = [(file_id, size)]
+    return []
+
+
+def test_folds_go_on_from_batch_to_batch(spark):
+    """Groups over several batches of seven rows, one of them without a key, against plain loops."""
+    rng = random.Random(3)
+    own = {g: [(n, rng.choice((0, 5, 20, 60, 99, 100, 101, 300))) for n in range(rng.choice((1, 6, 40, 90)))] for g in (1, 2, 3, 4, None)}
+    files = {g: [(n, rng.choice((0, 1, 3, 4, 9)) if n % 30 < 9 else rng.randint(100, 399)) for n in range(60)] for g in (1, 2, None)}
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        rows = spark.createDataFrame([(g, *x) for g, xs in own.items() for x in xs], "g long, lsn long, len long")
+        got = {(r.g, r.lsn): (r.segment, r.offset) for r in folds.greedy_rollover(rows, 100, "g").collect()}
+        assert got == {(g, lsn): (s, o) for g, xs in own.items() for lsn, s, o in plain_rollover(xs, 100)}
+        rows = spark.createDataFrame([(g, n, n, n, size) for g, xs in files.items() for n, size in xs], "g long, file_id long, min_lsn long, max_lsn long, file_len long")
+        got = sorted((r.g or 0, r.file_id) for r in folds.comparable_run(rows, "g").collect())
+        assert got == sorted((g or 0, f) for g, xs in files.items() for f in plain_run(xs)) and got
+        rows = spark.createDataFrame([(g, *x) for g, xs in own.items() for x in xs], "g long, at long, v long")
+        got = {(r.g, r.at): (r.average, r.baseline) for r in folds.smoothed(rows, "g", "at", "v").collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    for g, xs in own.items():
+        average = baseline = None
+        for at, x in xs:
+            average = x if average is None else (7 * average + x) // 8
+            baseline = average if baseline is None or average < baseline else baseline + (average - baseline) // 64
+            assert got.pop((g, at)) == (average, baseline)
+    assert not got
+
+
 def test_numbered(spark):
     rows = spark.createDataFrame([(x,) for x in (5, 7, 100, 130, 131, 900)], "lsn long")
     assert sorted(map(tuple, numbered(rows, "n", block=64).collect())) == [(5, 1), (7, 2), (100, 3), (130, 4), (131, 5), (900, 6)]

@@ -2,7 +2,7 @@
 
 import pytest
 
-from tests.compare import database, of_duck, of_spark, types
+from tests.compare import database, of_duck, of_spark, plain, types
 from tidemark.plans import registry
 
 QUERIES, SQL = registry.queries(), registry.oracle_sql()
@@ -24,6 +24,26 @@ def test_query_matches_sql(spark, tiny, con, name):
         assert got[0]
 
 
+#: Queries whose rows are in order, with what the SQL has to be ordered by; no two rows are equal in it and differ otherwise.
+ORDERED = {
+    "sc20_merged_rows": "k",
+    "sc28_wal_replay": "lsn",
+    "tk01_ranked_plans": "scenario = 'EmptyDelete' DESC, score DESC, list_position(['EmptyDelete', 'L0Compaction', 'DeadRef', 'JoinMultiple', 'PinnedEpochExpiry'], scenario), segment_id NULLS LAST, action",
+    "tk06_garbage_order": "segment_id, k, event_lsn, \"offset\", len",
+    "tk07_latest_sorted": "k",
+}
+
+
+@pytest.mark.parametrize("name", sorted(ORDERED))
+def test_rows_come_in_order(spark, tiny, name):
+    sf_dir = tiny.replace("sf0.001", "sf0.01")  # at the smallest size there is one plan
+    con, frame = database(sf_dir), QUERIES[name](spark, sf_dir)
+    got = [tuple(map(plain, r)) for r in frame.select(*sorted(frame.columns)).collect()]
+    names = ", ".join(f'"{c}"' for c in sorted(frame.columns))
+    want = [tuple(map(plain, r)) for r in con.sql(f"SELECT {names} FROM ({SQL[name]}) ORDER BY {ORDERED[name]}").fetchall()]
+    assert len(got) > 1 and got == want
+
+
 def test_entry(spark):
     import __spark_entry__
 

@@ -2,7 +2,7 @@
 
 import pytest
 
-from tidemark.operators.merge import latest, merged, reduced, replace_latest
+from tidemark.operators.merge import blob_merge, latest, merged, reduced, replace_latest
 from tidemark.sources import record_files as R
 
 
@@ -39,3 +39,26 @@ def test_merge_operator(spark):
     once = merged(base, reduced(patches, op, "k", "lsn"), op, "k", "lsn", schema, "k long, lsn long").filter("kind = 'state'")
     assert sorted((r.k, r.lsn, r.v) for r in once.collect()) == [x[1:] for x in got if x[0] == "state"]
     assert sorted(map(tuple, latest(base.unionByName(patches), ["k"], "lsn").collect())) == [x[1:] for x in got if x[0] == "state"]
+
+
+def test_blob_states_fold_on(spark):
+    """A lifetime of the first part still ends versions in the second: two parts come to what one comes to."""
+    rows = [(1, 2, 0, 0, "put", 0), (1, 4, 0, 0, "life", 3), (1, 6, 1, 4, "put", 0), (1, 8, 0, 4, "life", 9), (2, 2, 0, 0, "put", 0), (2, 7, 0, 0, "tomb", 0), (3, 8, 0, 4, "put", 0)]
+    log = spark.createDataFrame(rows, "k long, lsn long, shard long, epoch long, op string, end_epoch long")
+    state, empty = "k long, state string", spark.createDataFrame([], "k long, state string")
+    fold = lambda base, part: merged(base, part, blob_merge(), "k", "lsn", state, "k long, lsn long")
+    states = lambda got: got.filter("kind = 'state'").select("k", "state")
+    once, first = fold(empty, log), fold(empty, log.filter("lsn <= 5"))
+    twice = fold(states(first), log.filter("lsn > 5"))
+    assert sorted(map(tuple, states(once).collect())) == sorted(map(tuple, states(twice).collect()))
+    gone = lambda *parts: sorted({(r.k, r.lsn) for p in parts for r in p.filter("kind = 'event'").collect()})
+    assert gone(once) == gone(first, twice) == [(1, 2), (2, 2)]
+
+
+def test_long_scans_leave_in_steps(spark, tmp_path, monkeypatch):
+    data = b"".join(R.encode(b"k%d" % k, b"x" * k) for k in range(1, 300))
+    (tmp_path / "files").mkdir()
+    (tmp_path / "files" / "one").write_bytes(data)
+    monkeypatch.setattr(R, "STEP", 1000)
+    got = R.read_records(spark, f"file://{tmp_path}/files", payloads=True).orderBy("offset").collect()
+    assert [(bytes(r.key), len(r.payload)) for r in got] == [(b"k%d" % k, k) for k in range(1, 300)]

@@ -61,15 +61,16 @@ def replace_latest(key: str, order: str, value: str) -> MergeOperator:
 
 
 def blob_merge() -> MergeOperator:
-    """The state of a blob: live versions by shard, as JSON, after a fold of its mutations; what they end is retired."""
+    """The state of a blob, live versions by shard and its lifetime as JSON, after a fold of its mutations; what they end is
+    retired. A state folds on: mutations in any number of parts come to what they come to at once."""
 
     def merge(k: object, base: dict | None, rows: list[dict]) -> tuple[dict | None, list[dict]]:
-        state = {"live": json.loads(base["live"]), "life": None} if base else {}
+        state = json.loads(base["state"]) if base else {}
         before = {v[0] for v in state.get("live", {}).values()}
         now = fold(state, [(int(r["lsn"]), int(r["shard"]), int(r["epoch"]), r["op"], int(r["end_epoch"])) for r in rows])
         put = before | {int(r["lsn"]) for r in rows if r["op"] == "put"}
         gone = sorted(put - {v[0] for v in now["live"].values()})
-        return {"k": k, "live": json.dumps(now["live"])}, [{"k": k, "lsn": x} for x in gone]
+        return {"k": k, "state": json.dumps(now)}, [{"k": k, "lsn": x} for x in gone]
 
     return MergeOperator(merge)
 

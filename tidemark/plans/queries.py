@@ -644,6 +644,6 @@ def replace_merge(m: Model) -> DataFrame:
 def blob_merge(m: Model) -> DataFrame:
     """Live versions of each key by the merge operator that folds mutations in order."""
     log = m.mutations.select("k", "lsn", "shard", "epoch", "op", "end_epoch")
-    got = merge.merged(m.spark.createDataFrame([], "k long, live string"), log, merge.blob_merge(), "k", "lsn", "k long, live string", "k long, lsn long")
-    live = got.filter("kind = 'state'").select("k", F.explode(F.from_json("live", "map<string, array<long>>")).alias("shard", "v"))
+    got = merge.merged(m.spark.createDataFrame([], "k long, state string"), log, merge.blob_merge(), "k", "lsn", "k long, state string", "k long, lsn long")
+    live = got.filter("kind = 'state'").select("k", F.explode(F.from_json(F.get_json_object("state", "$.live"), "map<string, array<long>>")).alias("shard", "v"))
     return live.select("k", F.col("shard").cast("long").alias("shard"), F.col("v")[0].alias("lsn"))

@@ -23,6 +23,9 @@ CHECKSUM_XXH3_128 = 1
 MAX_PAYLOAD = 1 << 40
 MAX_KEY = 4096
 
+#: Bytes of rows that leave a scan at once.
+STEP = 4 << 20
+
 #: Magic, version, header length, key length, generation, payload length, checksum (two halves), algorithm, shard id and
 #: generation, padding.
 HEADER = struct.Struct("<4sHHIQQQQIIQ4x")
@@ -92,13 +95,24 @@ SCHEMA = "path string, offset long, len long, key binary, generation long, shard
 
 
 def read_records(spark, folder: str, payloads: bool = False) -> DataFrame:
-    """The valid prefix of each record file of a folder, a row for each record."""
+    """The valid prefix of each record file of a folder, a row for each record.
+
+    A file is scanned in one task, as only its start says where its records begin; rows leave in steps of a few MB. Spark's
+    binary source reads files of up to 2 GB, so segments have to be smaller.
+    """
+    names = [c.split()[0] for c in SCHEMA.split(", ")]
 
     def run(batches):
         for batch in batches:
             for path, data in zip(batch["path"], batch["content"], strict=True):
-                rows = [(path, at, h["len"], key, h["generation"], h["shard"], h["shard_generation"], payload if payloads else None) for at, h, payload, key in scan(data)]
-                yield pd.DataFrame(rows, columns=[c.split()[0] for c in SCHEMA.split(", ")])
+                rows, size = [], 0
+                for at, h, payload, key in scan(data):
+                    rows.append((path, at, h["len"], key, h["generation"], h["shard"], h["shard_generation"], payload if payloads else None))
+                    size += h["len"] if payloads else 256
+                    if size >= STEP:
+                        yield pd.DataFrame(rows, columns=names)
+                        rows, size = [], 0
+                yield pd.DataFrame(rows, columns=names)
 
     return spark.read.format("binaryFile").load(folder).select("path", "content").mapInPandas(run, SCHEMA)
 
