@@ -56,3 +56,13 @@ def test_payload_bytes_are_of_all_documents(spark, tiny):
     assert any(not r.text.isascii() for r in docs if r.text)
     want = [(r.doc_id, None if r.text is None else r.text.encode()[10:30].hex().upper()) for r in docs]
     assert sorted(map(tuple, QUERIES["sc08_payload_bytes"](spark, tiny).collect())) == sorted(want)
+
+
+def test_forwarding_chain_has_no_limit_of_rows(spark, tiny, con):
+    name, limit = "jn16_forwarded_garbage", "spark.sql.cteRecursionRowLimit"
+    spark.conf.set(limit, "20")
+    try:
+        got = of_spark(QUERIES[name](spark, tiny))
+    finally:
+        spark.conf.unset(limit)
+    assert len(got[0]) > 20 and got == of_duck(con, SQL[name])

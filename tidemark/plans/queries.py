@@ -263,15 +263,15 @@ WITH RECURSIVE hops AS (
   UNION ALL SELECT event_lsn, segment_id + 1000, "offset", event, hop + 1 FROM hops WHERE hop < 3 AND ("offset" // 64 + hop) % 2 = 0)
 SELECT event_lsn, segment_id, "offset", event FROM hops""")
 def forwarded_garbage(m: Model) -> DataFrame:
-    """An event goes to every segment along its record's chain of moves; targets only grow, so a chain is bounded."""
-    start = m.garbage_events.filter("segment_id % 5 = 0").select("event_lsn", "segment_id", "offset", "event")
-    return m.spark.sql(
-        """WITH RECURSIVE hops(event_lsn, segment_id, offset, event, hop) AS (
-          SELECT event_lsn, segment_id, offset, event, 0 FROM {start}
-          UNION ALL SELECT event_lsn, segment_id + 1000, offset, event, hop + 1 FROM hops WHERE hop < 3 AND (offset div 64 + hop) % 2 = 0)
-        SELECT event_lsn, segment_id, offset, event FROM hops""",
-        start=start,
-    )
+    """An event goes to every segment along its record's chain of moves; targets only grow, so a chain is bounded.
+
+    A chain's hops are a list in the event's own row, up to the first move that isn't made: Spark's recursive CTEs gather at
+    most a million rows, and read the events again for each hop.
+    """
+    start = m.settled().garbage_events.filter("segment_id % 5 = 0").select("event_lsn", "segment_id", "offset", "event")
+    hops = F.expr("filter(sequence(0, 3), h -> forall(sequence(0, 3), i -> i >= h OR (offset div 64 + i) % 2 = 0))")
+    out = start.withColumn("hop", F.explode(hops))
+    return out.select("event_lsn", (F.col("segment_id") + 1000 * F.col("hop")).alias("segment_id"), "offset", "event")
 
 
 @built("wn10_blob_patch_tier", """
