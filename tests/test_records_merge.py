@@ -1,8 +1,13 @@
 """The record format and the merge operator."""
 
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.operators.merge import blob_merge, latest, merged, reduced, replace_latest
+from tidemark.plans.model import Model
+from tidemark.plans.queries import _encoded
 from tidemark.sources import record_files as R
 
 
@@ -62,3 +67,21 @@ def test_long_scans_leave_in_steps(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(R, "STEP", 1000)
     got = R.read_records(spark, f"file://{tmp_path}/files", payloads=True).orderBy("offset").collect()
     assert [(bytes(r.key), len(r.payload)) for r in got] == [(b"k%d" % k, k) for k in range(1, 300)]
+
+
+def test_records_pass_workers_in_steps(spark, tmp_path, monkeypatch):
+    """A worker is handed batches by bytes, and rows leave it in steps of bytes."""
+    monkeypatch.setattr(R, "STEP", 1000)
+    keys, texts = [f"k{n}" for n in range(64)], ["é" * (n % 7) * 20 for n in range(64)]
+    batch = pa.array(keys), pa.array(texts), pa.array([7] * 64)
+    out = list(R.encoded.func(iter([batch])))
+    assert pa.concat_arrays(out).to_pylist() == [R.encode(k.encode(), t.encode(), shard=7) for k, t in zip(keys, texts, strict=True)]
+    assert len(out) > 8 and max(len(x) for x in out) < 16
+    spark.createDataFrame([(1, "x" * 3000)] * 20_000, "doc_id long, text string").coalesce(1).write.parquet(f"file://{tmp_path}/documents.parquet")
+    rows = _encoded(Model(spark, f"file://{tmp_path}"))
+    assert rows.select(_bytes_at_once("record").alias("n")).agg(F.max("n")).head()[0] <= 2 * R.BATCH
+
+
+@F.arrow_udf(T.LongType())
+def _bytes_at_once(batch: pa.Array) -> pa.Array:
+    return pa.array([batch.nbytes] * len(batch))

@@ -504,6 +504,7 @@ def expired_still_live(m: Model) -> DataFrame:
 
 # Record format, sinks, logs, merges.
 def _encoded(m: Model) -> DataFrame:
+    record_files.small_batches(m.spark)
     return m.table("documents").select("doc_id", record_files.encoded(F.col("doc_id").cast("string"), F.coalesce("text", F.lit("")), F.lit(7)).alias("record"))
 
 
@@ -512,7 +513,7 @@ _LENGTHS = "octet_length(encode(doc_id::VARCHAR)) AS key_len, octet_length(encod
 
 @built("sc02_peeked_headers", f"SELECT doc_id, key_len::BIGINT AS key_len, payload_len::BIGINT AS payload_len, 7::BIGINT AS shard FROM (SELECT doc_id, {_LENGTHS} FROM documents)")
 def peeked_headers(m: Model) -> DataFrame:
-    return _encoded(m).select("doc_id", record_files.header("record").alias("h")).select("doc_id", "h.key_len", "h.payload_len", "h.shard")
+    return _encoded(m).select("doc_id", record_files.header(F.col("record")).alias("h")).select("doc_id", "h.key_len", "h.payload_len", "h.shard")
 
 
 @built("sc03_decoded_records", "SELECT doc_id, doc_id::VARCHAR AS key, md5(coalesce(text, '')) AS payload_md5, true AS whole, false AS damaged_is_whole FROM documents")

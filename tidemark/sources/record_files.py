@@ -10,8 +10,9 @@ import struct
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -25,6 +26,8 @@ MAX_KEY = 4096
 
 #: Bytes of rows that leave a scan at once.
 STEP = 4 << 20
+#: Bytes of rows that Spark hands to a worker at once, except a single longer row.
+BATCH = 8 << 20
 
 #: Magic, version, header length, key length, generation, payload length, checksum (two halves), algorithm, shard id and
 #: generation, padding.
@@ -71,17 +74,42 @@ def scan(data: bytes) -> Iterator[tuple[int, dict, bytes, bytes]]:
         at = end
 
 
-@F.pandas_udf(T.BinaryType())
-def encoded(key: pd.Series, payload: pd.Series, shard: pd.Series) -> pd.Series:
-    """Records of keys and payloads (texts) in a shard."""
-    return pd.Series([encode(k.encode(), p.encode(), shard=int(s)) for k, p, s in zip(key, payload, shard, strict=True)])
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of some MB, so that a worker's memory depends neither on a table's size nor on how long its texts are.
+    The session keeps the setting, as a plan is run after it is made."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH))
 
 
-@F.pandas_udf(T.StructType([T.StructField(x, T.LongType()) for x in ("key_len", "payload_len", "shard", "len")]))
-def header(record: pd.Series) -> pd.DataFrame:
+def in_steps(*columns: pa.Array) -> Iterator[tuple[pa.Array, ...]]:
+    """Rows of a batch by slices of at most STEP bytes (by the mean of the batch), a row at least; nothing is copied."""
+    n = len(columns[0])
+    step = max(1, STEP * n // max(1, sum(c.nbytes for c in columns)))
+    for at in range(0, n, step):
+        yield tuple(c.slice(at, step) for c in columns)
+
+
+def binary(values: list) -> pa.Array:
+    return pa.array(values, pa.binary())
+
+
+@F.arrow_udf(T.BinaryType())
+def encoded(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+    """Records of keys and payloads (texts) in a shard. They leave in steps, so that a worker holds what Spark hands it at
+    once and a few MB more."""
+    for batch in batches:
+        for key, payload, shard in in_steps(*batch):
+            yield binary([encode(k.as_buffer().to_pybytes(), p.as_buffer().to_pybytes(), shard=s.as_py()) for k, p, s in zip(key, payload, shard, strict=True)])
+
+
+def header(record: Column) -> Column:
     """What the headers of records say, without a look at the rest."""
+    return _header(F.substring(record, 1, HEADER_LEN))
+
+
+@F.pandas_udf(T.StructType([T.StructField(x, T.LongType()) for x in ("key_len", "payload_len", "shard", "len")]))
+def _header(start: pd.Series) -> pd.DataFrame:
     names = ("key_len", "payload_len", "shard", "len")
-    return pd.DataFrame([[h[x] for x in names] for h in (peek(bytes(r[:HEADER_LEN])) for r in record)], columns=names)
+    return pd.DataFrame([[h[x] for x in names] for h in (peek(bytes(r)) for r in start)], columns=names)
 
 
 @F.pandas_udf(T.StructType([T.StructField("key", T.BinaryType()), T.StructField("payload", T.BinaryType()), T.StructField("whole", T.BooleanType())]))
