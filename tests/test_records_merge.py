@@ -77,6 +77,8 @@ def test_records_pass_workers_in_steps(spark, tmp_path, monkeypatch):
     out = list(R.encoded.func(iter([batch])))
     assert pa.concat_arrays(out).to_pylist() == [R.encode(k.encode(), t.encode(), shard=7) for k, t in zip(keys, texts, strict=True)]
     assert len(out) > 8 and max(len(x) for x in out) < 16
+    back = list(R.decoded.func(iter([pa.concat_arrays(out)])))
+    assert len(back) > 8 and [(r["key"].decode(), r["payload"].decode(), r["whole"]) for x in back for r in x.to_pylist()] == [(k, t, True) for k, t in zip(keys, texts, strict=True)]
     spark.createDataFrame([(1, "x" * 3000)] * 20_000, "doc_id long, text string").coalesce(1).write.parquet(f"file://{tmp_path}/documents.parquet")
     rows = _encoded(Model(spark, f"file://{tmp_path}"))
     assert rows.select(_bytes_at_once("record").alias("n")).agg(F.max("n")).head()[0] <= 2 * R.BATCH

@@ -112,11 +112,14 @@ def _header(start: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([[h[x] for x in names] for h in (peek(bytes(r)) for r in start)], columns=names)
 
 
-@F.pandas_udf(T.StructType([T.StructField("key", T.BinaryType()), T.StructField("payload", T.BinaryType()), T.StructField("whole", T.BooleanType())]))
-def decoded(record: pd.Series) -> pd.DataFrame:
-    """Key and payload of whole records; whole is false for what is torn or damaged."""
-    rows = [next(scan(bytes(r)), None) for r in record]
-    return pd.DataFrame({"key": [r and r[3] for r in rows], "payload": [r and r[2] for r in rows], "whole": [r is not None for r in rows]})
+@F.arrow_udf(T.StructType([T.StructField("key", T.BinaryType()), T.StructField("payload", T.BinaryType()), T.StructField("whole", T.BooleanType())]))
+def decoded(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    """Key and payload of whole records; whole is false for what is torn or damaged. They leave in steps as encoded()'s do."""
+    for batch in batches:
+        for (record,) in in_steps(batch):
+            rows = [next(scan(r.as_buffer().to_pybytes()), None) for r in record]
+            columns = [binary([r and r[3] for r in rows]), binary([r and r[2] for r in rows]), pa.array([r is not None for r in rows])]
+            yield pa.StructArray.from_arrays(columns, ["key", "payload", "whole"])
 
 
 SCHEMA = "path string, offset long, len long, key binary, generation long, shard long, shard_generation long, payload binary"
