@@ -8,7 +8,8 @@ from tidemark.operators import folds, frontiers, intervals, summaries, versions
 from tidemark.operators.merge import fold
 from tidemark.operators.planner import Planner, ranked
 from tidemark.sources.events import numbered
-from tidemark.streaming.sweep import LOG_SCHEMA, fold_stream
+from tidemark.streaming import sweep
+from tidemark.streaming.sweep import LOG_SCHEMA, fold_stream, stream_in_parts
 
 LOG = "lsn long, k long, shard long, epoch long, op string, end_epoch long, len long"
 
@@ -67,6 +68,21 @@ def test_stream_of_several_files_equals_the_fold(spark, tmp_path):
     assert {k: n for k, n in got.items() if n} == want
 
 
+def test_parts_come_in_many_files_and_keys_share_states(spark, tmp_path, monkeypatch):
+    """A part is written in as many tasks as its rows have, and is one batch all the same; a bucket's keys stay apart."""
+    rows = random_log(9)
+    log = log_of(spark, rows)
+    want = {}
+    for (k, _), _v in live(spark, rows).items():
+        want[k] = want.get(k, 0) + 1
+    for buckets in (1, 3):
+        monkeypatch.setattr(sweep, "fresh_folder", lambda _, name, n=buckets: f"file://{tmp_path}/{n}/{name}")
+        got = {r.k: r.live for r in fold_stream(stream_in_parts(log.repartition(5), "lsn", [240, 500]), buckets).collect()}
+        assert set(got) == {r[1] for r in rows} and {k: n for k, n in got.items() if n} == want
+        assert len(list((tmp_path / str(buckets) / "parts").glob("*.parquet"))) == 15
+        assert sorted(x.name for x in (tmp_path / str(buckets) / "fold/states").iterdir()) == ["batch=0", "batch=1", "batch=2"]
+
+
 def test_deltas_below_zero_raise(spark):
     bad = spark.createDataFrame([(1, "live_bytes", None, -5)], "segment_id long, metric string, bucket long, delta long")
     with pytest.raises(Exception, match="below zero"):

@@ -9,7 +9,9 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable, Iterator
+from itertools import pairwise
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,17 +22,21 @@ from tidemark.operators.merge import fold
 from tidemark.sources.folders import fresh_folder, share_code
 
 LOG_SCHEMA = "lsn long, k long, shard long, epoch long, op string, end_epoch long, len long"
+#: States that a fold's keys are dealt to.
+BUCKETS = 2048
 
 
-def run_batches(stream: DataFrame, each: Callable[[DataFrame, int, str], None], name: str) -> str:
-    """Drain a stream now, batch by batch; each() writes what it makes below the folder that is returned."""
+def run_batches(stream: DataFrame | Parts, each: Callable[[DataFrame, int, str], None], name: str, made: Callable[[DataFrame], DataFrame] = lambda s: s) -> str:
+    """Drain a stream now, batch by batch, or one that comes part by part as each part is there; each() writes what it makes
+    of made(stream)'s batches below the folder that is returned. Progress and state last from part to part."""
     folder = fresh_folder(stream.sparkSession, name)
-    query = stream.writeStream.foreachBatch(lambda df, n: each(df, n, folder)).option("checkpointLocation", f"{folder}/progress").trigger(availableNow=True).start()
-    query.awaitTermination()
+    for s in [stream] if isinstance(stream, DataFrame) else stream:
+        query = made(s).writeStream.outputMode("update").foreachBatch(lambda df, n: each(df, n, folder)).option("checkpointLocation", f"{folder}/progress").trigger(availableNow=True).start()
+        query.awaitTermination()
     return folder
 
 
-def swept(stream: DataFrame, frontier: DataFrame, deleted: DataFrame, tries: int = 1) -> dict[str, DataFrame]:
+def swept(stream: DataFrame | Parts, frontier: DataFrame, deleted: DataFrame, tries: int = 1) -> dict[str, DataFrame]:
     """applied (k, puts, bytes), pending rows, and dropped (k, n) of a stream of mutations.
 
     frontier (k, through): rows of a key beyond it are early and wait; deleted (k): rows of these keys are dropped.
@@ -55,13 +61,13 @@ def swept(stream: DataFrame, frontier: DataFrame, deleted: DataFrame, tries: int
     return {"applied": applied, "pending": spark.read.schema(LOG_SCHEMA).parquet(f"{folder}/pending/*"), "dropped": dropped}
 
 
-def sweep(stream: DataFrame, frontier: DataFrame, deleted: DataFrame) -> tuple[DataFrame, DataFrame]:
+def sweep(stream: DataFrame | Parts, frontier: DataFrame, deleted: DataFrame) -> tuple[DataFrame, DataFrame]:
     """swept()'s applied and pending."""
     got = swept(stream, frontier, deleted)
     return got["applied"], got["pending"]
 
 
-def forwarded(stream: DataFrame, moves: DataFrame) -> DataFrame:
+def forwarded(stream: DataFrame | Parts, moves: DataFrame) -> DataFrame:
     """A stream of garbage events (segment_id, offset and more), each also for the copy that its record has by now.
 
     moves: segment_id, offset, to_segment. They are joined batch by batch, so an event that was not swept when its record
@@ -95,41 +101,66 @@ class ProgressListener(StreamingQueryListener):
         pass
 
 
-def fold_stream(stream: DataFrame) -> DataFrame:
+def fold_stream(stream: DataFrame | Parts, buckets: int = BUCKETS) -> DataFrame:
     """k, live, ends of each key after all of a stream of mutations, by keyed state: how many versions it holds, and the
-    end epochs of those that have one. Epochs reach a key lazily, by a look at ends when it is read."""
-
-    def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = [r for b in batches for r in b[["lsn", "shard", "epoch", "op", "end_epoch"]].astype(object).itertuples(index=False, name=None)]
-        now = fold(json.loads(state.get[0]) if state.exists else {}, [(int(a), int(b), int(c), d, int(e)) for a, b, c, d, e in rows])
-        state.update((json.dumps(now),))
-        life = now["life"]
-        ends = [life[1] for lsn, epoch in now["live"].values() if life and not (life[0] <= lsn and life[1] <= epoch)]
-        yield pd.DataFrame({"k": [key[0]], "last_lsn": [int(max(r[0] for r in rows))], "live": [len(now["live"])], "ends": [ends]})
-
-    share_code(stream.sparkSession)
-    folded = stream.groupBy("k").applyInPandasWithState(update, "k long, last_lsn long, live long, ends array<long>", "json string", "update", GroupStateTimeout.NoTimeout)
+    end epochs of those that have one. Epochs reach a key lazily, by a look at ends when it is read.
+
+    Keys are dealt to buckets, and a bucket's keys share a state: one by itself costs Python milliseconds in each batch,
+    however little it holds. A batch rewrites the states of the buckets that it has rows of."""
+    names = ["k", "lsn", "shard", "epoch", "op", "end_epoch"]
+
+    def update(bucket: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        rows = pd.concat([b[names] for b in batches], ignore_index=True)
+        if bucket[0] is None:  # rows without a key
+            rows["k"] = -1
+        rows = rows.sort_values("k", kind="stable", ignore_index=True)
+        states = json.loads(state.get[0]) if state.exists else {}
+        cuts = [0, *np.flatnonzero(np.diff(rows["k"].to_numpy())) + 1, len(rows)]
+        out = []
+        for a, b in pairwise(cuts):
+            own = rows.iloc[a:b]
+            k, *columns = (own[c].to_list() for c in names)
+            now = states[str(k[0])] = fold(states.get(str(k[0]), {}), [(x, s, e, op, int(end)) for x, s, e, op, end in zip(*columns, strict=True)])
+            life = now["life"]
+            ends = [life[1] for lsn, epoch in now["live"].values() if life and not (life[0] <= lsn and life[1] <= epoch)]
+            out.append((None if bucket[0] is None else k[0], max(columns[0]), len(now["live"]), ends))
+        state.update((json.dumps(states),))
+        yield pd.DataFrame(out, columns=["k", "last_lsn", "live", "ends"])
+
+    def folded(s: DataFrame) -> DataFrame:
+        dealt = s.select(*names).withColumn("bucket", F.when(F.col("k").isNotNull(), F.pmod(F.xxhash64("k"), F.lit(buckets))))
+        return dealt.groupBy("bucket").applyInPandasWithState(update, "k long, last_lsn long, live long, ends array<long>", "json string", "update", GroupStateTimeout.NoTimeout)
 
     def each(batch: DataFrame, number: int, folder: str) -> None:
         batch.write.mode("overwrite").parquet(f"{folder}/states/batch={number}")
 
     spark = stream.sparkSession
-    query_folder = fresh_folder(spark, "fold")
-    query = folded.writeStream.outputMode("update").foreachBatch(lambda df, n: each(df, n, query_folder)).option("checkpointLocation", f"{query_folder}/progress").trigger(availableNow=True).start()
-    query.awaitTermination()
-    states = spark.read.schema("k long, last_lsn long, live long, ends array<long>").parquet(f"{query_folder}/states/*")
+    share_code(spark)
+    folder = run_batches(stream, each, "fold", folded)
+    states = spark.read.schema("k long, last_lsn long, live long, ends array<long>").parquet(f"{folder}/states/*")
     return states.groupBy("k").agg(F.max_by(F.struct("live", "ends"), "last_lsn").alias("s")).select("k", "s.live", "s.ends")
 
 
-def stream_in_parts(rows: DataFrame, order: str, bounds: list[int]) -> DataFrame:
-    """rows as a stream of one file a batch, in the order of a column: cut after each of bounds, so that what is kept by
+class Parts:
+    """Rows as a stream that comes part by part: each step of an iteration writes a part's files, in as many tasks as the
+    rows have, and gives the stream, which has all files so far. Who drains it each time with one checkpoint gets a part a
+    batch, whatever the times and numbers of its files are."""
+
+    def __init__(self, parts: list[DataFrame]):
+        self.parts, self.sparkSession, self.schema = parts, parts[0].sparkSession, parts[0].schema
+
+    def __iter__(self) -> Iterator[DataFrame]:
+        folder = fresh_folder(self.sparkSession, "parts")
+        for part in self.parts:
+            part.write.mode("append").parquet(folder)
+            yield self.sparkSession.readStream.schema(self.schema).parquet(folder)
+
+
+def stream_in_parts(rows: DataFrame, order: str, bounds: list[int]) -> Parts:
+    """rows as a stream of a batch for each part, in the order of a column: cut after each of bounds, so that what is kept by
     key has to last from batch to batch."""
-    folder = fresh_folder(rows.sparkSession, "parts")
-    for lo, hi in zip([None, *bounds], [*bounds, None], strict=True):
-        part = rows if lo is None else rows.filter(F.col(order) > lo)
-        part = part if hi is None else part.filter(F.col(order) <= hi)
-        part.coalesce(1).write.mode("append").parquet(folder)
-    return rows.sparkSession.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    after = [rows if lo is None else rows.filter(F.col(order) > lo) for lo in [None, *bounds]]
+    return Parts([part if hi is None else part.filter(F.col(order) <= hi) for part, hi in zip(after, [*bounds, None], strict=True)])
 
 
 def log_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
