@@ -83,6 +83,19 @@ def test_parts_come_in_many_files_and_keys_share_states(spark, tmp_path, monkeyp
         assert sorted(x.name for x in (tmp_path / str(buckets) / "fold/states").iterdir()) == ["batch=0", "batch=1", "batch=2"]
 
 
+def test_states_do_not_grow_with_keys(spark, tmp_path, monkeypatch):
+    """A fold has no more states than buckets, and what is readable by its end epochs is what the versions say."""
+    rows = [(lsn + 240 * n, k + 6 * n, s, e, op, end) for n in range(50) for lsn, k, s, e, op, end in random_log(n, 120)]
+    at = max(r[3] for r in rows)
+    want = dict.fromkeys((r[1] for r in rows), 0)
+    for (k, _), (_lsn, end, _n) in live(spark, rows).items():
+        want[k] += end is None or end > at
+    monkeypatch.setattr(sweep, "fresh_folder", lambda _, name: f"file://{tmp_path}/{name}")
+    got = {r.k: r.live - sum(end <= at for end in r.ends) for r in fold_stream(stream_in_parts(log_of(spark, rows), "lsn", [5000]), 4).collect()}
+    assert len(want) == 300 and any(want.values()) and got == want
+    assert spark.read.format("statestore").load(f"file://{tmp_path}/fold/progress").count() == 4
+
+
 def test_deltas_below_zero_raise(spark):
     bad = spark.createDataFrame([(1, "live_bytes", None, -5)], "segment_id long, metric string, bucket long, delta long")
     with pytest.raises(Exception, match="below zero"):
